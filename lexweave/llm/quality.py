@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
-    u = (common.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64)
+    u = (common.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)).astype(np.float64)
     return -np.log(-np.log((u + 0.5) / 2.0**53))
 
 

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality
+from . import fingerprints, langid, licenses, packing, quality, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (langid.op4_language_id, quality.op10_quality)}
+    return {f.__name__: f for f in (licenses.op1_licenses, packing.op3_packing, langid.op4_language_id, warc.op5_warc, toxicity.op7_toxicity, fingerprints.op8_fingerprint, quality.op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licenses": licenses.OP1_SQL}
