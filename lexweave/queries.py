@@ -256,12 +256,12 @@ def _register(words: tuple[str, ...]) -> None:
     _registered_part("search_fuzzy_2", f"{c[:-2]}xx~2", [(f"regexp_full_match(term, '{Pattern(c[:-2] + 'xx', 2).regex[5:-1]}')", _ALL, 1, o)])
 
 
-_register(("small", "brass", "steel", "tin"))
+_register(("small", "ring", "large", "hot"))
 
 
-@query(f"WITH {_PART}, bad AS (SELECT DISTINCT doc_ref FROM postings WHERE term = 'steel') SELECT DISTINCT doc_ref, CAST(0 AS DOUBLE) AS score FROM len WHERE doc_ref NOT IN (SELECT doc_ref FROM bad)")
+@query(f"WITH {_PART}, bad AS (SELECT DISTINCT doc_ref FROM postings WHERE term = 'large') SELECT DISTINCT doc_ref, CAST(0 AS DOUBLE) AS score FROM len WHERE doc_ref NOT IN (SELECT doc_ref FROM bad)")
 def search_negated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _part_search(spark, sf_dir, "-steel")
+    return _part_search(spark, sf_dir, "-large")
 
 
 @query(f"WITH {_PART} SELECT DISTINCT doc_ref, CAST(0 AS DOUBLE) AS score FROM len")
@@ -269,18 +269,18 @@ def search_empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part_search(spark, sf_dir, "")
 
 
-@query(_search_sql(_PART, [("term = 'ste'", _ALL, 100, "optional"), ("starts_with(term, 'ste')", _ALL, 10, "optional"), ("damerau_levenshtein(term, 'ste') <= 1", _ALL, 1, "optional")]))
+@query(_search_sql(_PART, [("term = 'rid'", _ALL, 100, "optional"), ("starts_with(term, 'rid')", _ALL, 10, "optional"), ("damerau_levenshtein(term, 'rid') <= 1", _ALL, 1, "optional")]))
 def search_typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     def ask(q: Query) -> None:
-        q.add_term("ste", boost=100).add_term("ste", boost=10, use_pipeline=False, wildcard=Wildcard.TRAILING).add_term("ste", edit_distance=1)
+        q.add_term("rid", boost=100).add_term("rid", boost=10, use_pipeline=False, wildcard=Wildcard.TRAILING).add_term("rid", edit_distance=1)
 
     return _part_search(spark, sf_dir, ask)
 
 
-@query(_search_sql(_PART, [("term = 'small'", ["p_name", "p_type"], 2, "required"), ("term = 'brass'", ["p_type"], 1, "optional")]))
+@query(_search_sql(_PART, [("term = 'small'", ["p_name", "p_type"], 2, "required"), ("term = 'large'", ["p_type"], 1, "optional")]))
 def search_programmatic(spark: SparkSession, sf_dir: str) -> DataFrame:
     def ask(q: Query) -> None:
-        q.add_term("small", boost=2, presence=Presence.REQUIRED, fields=["p_name", "p_type"]).add_term("brass", fields=["p_type"])
+        q.add_term("small", boost=2, presence=Presence.REQUIRED, fields=["p_name", "p_type"]).add_term("large", fields=["p_type"])
 
     return _part_search(spark, sf_dir, ask)
 
@@ -315,7 +315,7 @@ def _many_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-MANY = {"a": "small brass", "b": "steel", "c": "tin nowhereatall"}
+MANY = {"a": "small ring", "b": "gear", "c": "red nowhereatall"}
 
 
 @query(_many_sql())
@@ -348,9 +348,9 @@ def set_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return KeySet.of(table(spark, sf_dir, "orders"), "o_custkey").contains(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def set_lacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return KeySet.of(table(spark, sf_dir, "orders"), "o_custkey").lacks(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_name")
+    return KeySet.of(table(spark, sf_dir, "supplier"), "s_suppkey").lacks(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_name")
 
 
 _PROBE = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
@@ -408,11 +408,11 @@ def index_roundtrip_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.tables.postings.select("term", "field", "doc_ref", F.round("weight", 3).alias("weight"))
 
 
-@query(f"WITH {_PART} SELECT term, field, doc_ref, round(weight, 3) AS weight FROM postings WHERE term = 'brass'")
+@query(f"WITH {_PART} SELECT term, field, doc_ref, round(weight, 3) AS weight FROM postings WHERE term = 'gizmo'")
 def store_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = IndexStore(spark, _scratch(spark))
     store.save(part_index(spark, sf_dir).tables)
-    return store.entry("brass").select("term", "field", "doc_ref", F.round("weight", 3).alias("weight"))
+    return store.entry("gizmo").select("term", "field", "doc_ref", F.round("weight", 3).alias("weight"))
 
 
 @query(f"WITH {_PART} SELECT term FROM terms WHERE starts_with(term, 's')")
