@@ -40,6 +40,8 @@ from .quality import among, labelled
 
 ORDER = 8
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(ORDER + 1)], np.uint64)
+#: From this order on, sequences counted once in all aren't kept: they back off.
+RARE = 5
 #: A word's normalised log ratio counts as support from here.
 SUPPORT = 0.7
 EIGHT = np.uint64(8)
@@ -62,10 +64,11 @@ def grams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Lookup:
-    """Values by 64-bit key: one slot a key in an open table, keys that meet in a slot in a sorted list beside it."""
+    """Values by 64-bit key: one slot a key in an open table, keys that meet in a slot in a sorted list beside it. Only keys and values are pickled."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(np.ceil(np.log2(4 * max(1, len(keys))))))
+        self.given = keys, values.astype(np.float32)
+        bits = max(4, int(np.ceil(np.log2(2 * max(1, len(keys))))))
         self.shift = np.uint64(64 - bits)
         slot = self._slot(keys)
         self.keys = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -76,6 +79,9 @@ class Lookup:
         rest = rest[np.argsort(keys[rest], kind="stable")]
         self.more_keys, self.more_values = keys[rest], values[rest].astype(np.float32)
 
+    def __reduce__(self):
+        return Lookup, self.given
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         h = keys * np.uint64(0x9E3779B97F4A7C15)
         return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> self.shift
@@ -146,8 +152,10 @@ class KneserNey:
                 own = np.maximum(_find(k, v, keys, 0.0) - d, 0) / np.maximum(t, 1)
                 now.append(own + np.where(t > 0, _find(h, share, keys >> EIGHT, 1.0), 1.0) * base)
                 lam.append(_find(h, share, contexts, 1.0))
-            model.seen[n] = Lookup(keys, np.log(now[0] / now[1]))
-            model.backoff[n] = Lookup(contexts, np.log(lam[0] / lam[1]))
+            often = np.ones(len(keys), bool) if n < RARE else sum(_find(*counts[n], keys, 0.0) for counts in classes) > 1
+            model.seen[n] = Lookup(keys[often], np.log(now[0] / now[1])[often])
+            known = np.isin(contexts, keys[often] >> EIGHT)
+            model.backoff[n] = Lookup(contexts[known], np.log(lam[0] / lam[1])[known])
             lower_keys, lower = keys, now
         return model
 
