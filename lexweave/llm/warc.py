@@ -254,7 +254,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("digest", pa.array([digest_of(p) for p in payloads], pa.string())).append_column("size", pa.array([len(p) for p in payloads], pa.int64()))
 
 
-def write_warc(rows: DataFrame, path: str, key_col: str, uri_col: str, payload_col: str, revisit_bytes: int = 0, date: str = "2020-01-01T00:00:00Z") -> None:
+def write_warc(rows: DataFrame, path: str, key_col: str, uri_col: str, payload_col: str, revisit_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", compression: str = "none") -> None:
     """One response or revisit record for each row."""
     plain = rows.select(F.col(key_col).cast("long").alias("key"), F.col(uri_col).cast("string").alias("uri"), F.col(payload_col).cast("string").alias("payload"))
     hashed = plain.mapInArrow(_digests, "key long, uri string, payload string, digest string, size long")
@@ -276,12 +276,12 @@ def write_warc(rows: DataFrame, path: str, key_col: str, uri_col: str, payload_c
                 out.append("\r\n".join([*head, f"Content-Length: {length}"]) + SEPARATOR + block + ((payload.as_py() or "") if origin is None else ""))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    typed.mapInArrow(build, "value string").write.option("lineSep", SEPARATOR).text(path)
+    typed.mapInArrow(build, "value string").write.option("lineSep", SEPARATOR).option("compression", compression).text(path)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write_warc(common.table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    write_warc(common.table(spark, sf_dir, "pages"), path, "page_id", "url", "html", compression="gzip")
     got = read_warc(spark, path, payload="false", verify="true")
     return got.select(
         F.col("headers")[KEY.lower()].cast("long").alias("page_id"),
