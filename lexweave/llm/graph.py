@@ -17,7 +17,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     execution. Every round is materialised in the shared folder; the driver
     sees a count and a checksum of it.
     """
-    edges = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
+    edges = common.cut(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
