@@ -267,7 +267,7 @@ def write_warc(rows: DataFrame, path: str, key_col: str, uri_col: str, payload_c
             for key, uri, payload, digest, size, origin in zip(*batch.columns, strict=True):
                 key, uri, digest, size, origin = key.as_py(), uri.as_py(), digest.as_py(), size.as_py(), origin.as_py()
                 head = ["WARC/1.1", f"WARC-Type: {'response' if origin is None else 'revisit'}", f"WARC-Record-ID: <urn:row:{key}>" if key is not None else f"WARC-Record-ID: <urn:digest:{digest}>", f"WARC-Date: {date}"]
-                head += [f"WARC-Target-URI: {_safe(uri)}"] * (uri is not None) + [f"{KEY}: {key}"] * (key is not None)
+                head += ([] if uri is None else [f"WARC-Target-URI: {_safe(uri)}"]) + ([] if key is None else [f"{KEY}: {key}"])
                 head += [f"WARC-Payload-Digest: sha1:{digest}", f"{LENGTH}: {size}", "Content-Type: application/http; msgtype=response"]
                 if origin is not None:
                     head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:row:{origin}>"]
