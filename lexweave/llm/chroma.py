@@ -108,14 +108,14 @@ def packed(classes: np.ndarray) -> np.ndarray:
     if len(classes) < WIDE:
         classes = np.concatenate([classes, np.zeros((WIDE - len(classes), 12), classes.dtype)])
     image = np.zeros((len(classes) + 1, 13))
-    image[1:, 1:] = classes.cumsum(0).cumsum(1)
+    image[1:, 1:] = classes.cumsum(0, dtype=float).cumsum(1)
     n = len(classes) - WIDE + 1
     out = np.zeros(n, np.uint32)
     for boxes in FILTERS:
         area = [np.zeros(n), np.zeros(n)]
         for sign, t, w, y, h in boxes:
             area[sign < 0] += image[t + w : t + w + n, y + h] - image[t : t + n, y + h] - image[t + w : t + w + n, y] + image[t : t + n, y]
-        r = np.log((area[0] + 0.05) / (area[1] + 0.05))
+        r = np.log((area[0] + 0.05) / (area[1] + 0.05)).round(6)  # equal areas fall on a threshold whatever was summed before
         out = out << np.uint32(2) | GRAY[np.searchsorted([-0.6, 0.0, 0.6], r)]
     return out
 
@@ -241,6 +241,12 @@ def _blocks(asking: DataFrame) -> Iterator[tuple[list[int], list[bytes]]]:
         yield names, fps
 
 
+def _rank(match: tuple[float, tuple, int]) -> tuple:
+    """By errors, then key, nulls first."""
+    errors, key, offset = match
+    return errors, tuple((x is not None, x or 0) for x in key), offset
+
+
 def _meet(classes: DataFrame, shared, k: int, votes: int, most_errors: float) -> DataFrame:
     """For each query class a task's number of matching rows and its best matches."""
 
@@ -256,9 +262,9 @@ def _meet(classes: DataFrame, shared, k: int, votes: int, most_errors: float) ->
                     mine = best.setdefault(q, [])
                     mine += [(errors, key, offset) for key in keys]
                     if len(mine) > 64:
-                        mine.sort()
+                        mine.sort(key=_rank)
                         del mine[k:]
-        rows = [{"class": names[q], "hits": hits[q], "best": [{"errors": e, "key": dict(zip(columns, key, strict=True)), "offset": o} for e, key, o in sorted(best[q])[:k]]} for q in hits]
+        rows = [{"class": names[q], "hits": hits[q], "best": [{"errors": e, "key": dict(zip(columns, key, strict=True)), "offset": o} for e, key, o in sorted(best[q], key=_rank)[:k]]} for q in hits]
         kind = pa.schema([("class", pa.int64()), ("hits", pa.int64()), ("best", pa.list_(pa.struct([("errors", pa.float64()), ("key", key_type), ("offset", pa.int64())])))])
         yield from pa.Table.from_pylist(rows, kind).to_batches()
 
