@@ -15,7 +15,8 @@ Several queries run in the same plan, told apart by query_id.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,17 @@ def search(tables: IndexTables, query: str | Query | Callable[[Query], object],
     return found.limit(limit) if limit is not None else found
 
 
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], None]]:
+    """Jobs that this thread starts inside carry the tag; the function given back stops them from any thread."""
+    sc = spark.sparkContext
+    sc.addJobTag(tag)
+    try:
+        yield lambda: sc.cancelJobsWithTag(tag)
+    finally:
+        sc.removeJobTag(tag)
+
+
 class Index:
     """An index to search; its tables are DataFrames."""
 

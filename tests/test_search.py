@@ -1,10 +1,12 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave.operators.index import FieldSpec, build_index
 from lexweave.operators.pipeline import Pipeline
 from lexweave.plans.query import Presence, Wildcard
-from lexweave.plans.search import Index
+from lexweave.plans.search import Index, cancellable
 from tests.corpus import GREEN, green_index, results
 
 CASES = {
@@ -147,3 +149,12 @@ def test_b_is_clamped(spark):
     df = spark.createDataFrame(GREEN, "id string, title string, body string, n int")
     low, zero = (sorted(map(tuple, build_index(df, "id", ["body"], b=b).postings.select("term", "doc_ref", "weight").collect())) for b in (-3, 0))
     assert low == zero
+
+
+def test_cancelling(spark):
+    with cancellable(spark, "search-1") as stop:
+        timer = threading.Timer(1.0, stop)
+        timer.start()
+        with pytest.raises(Exception, match="(?i)cancel"):
+            spark.range(10**13).selectExpr("sum(id * id % 7)").collect()
+    assert spark.range(3).count() == 3
