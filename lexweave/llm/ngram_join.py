@@ -10,8 +10,8 @@ Two documents link when their sets' Jaccard similarity is at least
 2. A set of n shingles that links with another shares one of its
    n - ceil(n * percent / 100) + 1 first shingles with the other's first ones.
    Documents with equal prefixes and sizes are one group; groups that share a
-   prefix shingle are joined into clusters, star by star, without making pairs.
-   Shingles that are frequent by the table are salted.
+   prefix shingle, at places that leave room for enough others in common, are joined into clusters, star by star, without making pairs.
+   Shingles that are very frequent by the table are salted.
 3. Of every different set in a cluster one document is loaded. Group pairs
    are filtered by size and by how many prefix shingles they share; then their members are
    expanded and verified exactly, unless already connected. Clusters over
@@ -45,7 +45,7 @@ from .quality import span_hashes
 
 WORDS = 5
 PERCENT = 75
-SKETCH_BITS = 20
+SKETCH_BITS = 21
 BLOCK = 2048
 BLOCK_SHINGLES = 1_000_000
 SALT_ROWS = 1 << 16
@@ -141,7 +141,7 @@ def salts(level: np.ndarray, rows: int) -> np.ndarray:
 
 
 def clusters(docs: DataFrame, level, salt_rows: int) -> DataFrame:
-    """(node, component) of groups that share a prefix shingle with another group."""
+    """(node, component) of groups that share a prefix shingle, at places and with sizes that leave room for enough others."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv = level.value
@@ -158,37 +158,45 @@ def clusters(docs: DataFrame, level, salt_rows: int) -> DataFrame:
                         fresh[i] = True
                 take = s.in_prefix & fresh[s.doc]
                 token, gid = s.ordered[take], s.gid[s.doc[take]]
+                at = (s.n[s.doc[take]].astype(np.int64) << 32) | (np.arange(len(s.doc)) - s.start[s.doc])[take]
                 many = salt[bucket(token)]
                 hot = np.flatnonzero(many > 1)
-                part = (common.mix(gid[hot].view(np.uint64)) % many[hot].astype(np.uint64)).astype(np.uint64)
+                part = common.mix(gid[hot].view(np.uint64)) % many[hot].astype(np.uint64)
                 plain = token[hot].copy()
                 token[hot] = common.mix(plain + part * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+                at[hot] = 0
                 also = []
                 for k, key in enumerate(token[hot].tolist()):
                     if key not in linked:
                         linked.add(key)
                         also.append(k)
-                tokens, gids = np.concatenate([token, plain[also]]), np.concatenate([gid, gid[hot][also]])
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(gids)], names=["token", "gid"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([token, plain[also]]).view(np.int64)), pa.array(np.concatenate([at, at[hot][also]])), pa.array(np.concatenate([gid, gid[hot][also]]))], names=["token", "at", "gid"]
+                )
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, pivot, last = None, None, None
+        """Runs of a token come by size. While some group before accepts the size of the next, they hang on to the first; then a new star begins."""
+        token, pivot, top = None, 0, -1
         for batch in batches:
-            t, g = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            t, at, g = (c.to_numpy() for c in batch.columns)
             if not len(t):
                 continue
-            new = np.append(t[0] != token or token is None, t[1:] != t[:-1])
-            heads = np.where(new, np.arange(len(t)), -1)
-            heads = np.maximum.accumulate(heads)
-            piv = np.where(heads >= 0, g[np.maximum(heads, 0)], pivot if pivot is not None else 0)
-            same = np.append(last is not None and g[0] == last, g[1:] == g[:-1])
-            keep = ~new & ~same & (g != piv)
-            token, pivot, last = t[-1], piv[-1], g[-1]
-            pairs = np.unique(np.stack([g[keep], piv[keep]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    posted = docs.select("text").mapInArrow(postings, "token long, gid long")
-    dealt = posted.repartition(common.shuffle_width(docs.sparkSession), "token").sortWithinPartitions("token", "gid")
+            same = t[1:] == t[:-1]
+            alone = ~np.append(same, True) & ~np.append(t[0] == token, same)  # its token isn't next to it; the last row may go on
+            pairs = set()
+            for k in np.flatnonzero(~alone).tolist():
+                n, i = int(at[k]) >> 32, int(at[k]) & 0xFFFFFFFF
+                if t[k] == token and PERCENT * n <= top:
+                    if g[k] != pivot:
+                        pairs.add((int(g[k]), pivot))
+                else:
+                    token, pivot, top = t[k], int(g[k]), -1
+                # sets of n and m shingles whose first common one is at place i of the first hold at most n - i in common
+                top = max(top, (100 + PERCENT) * (n - i) - PERCENT * n)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], names=["a", "b"])
+
+    posted = docs.select("text").mapInArrow(postings, "token long, at long, gid long")
+    dealt = posted.repartition(common.shuffle_width(docs.sparkSession), "token").sortWithinPartitions("token", "at", "gid")
     return graph.components(dealt.mapInArrow(stars, "a long, b long"))
 
 
