@@ -7,8 +7,10 @@ r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1), all derived from the term's hash;
 with t = floor(ln w / r + b) the term with the least c / exp(r (t - b + 1))
 is sampled, and (term, t) is what the signature holds. Two signatures agree at a position
 with a probability equal to the documents' generalised Jaccard similarity.
-Terms are hashed into 2**TERM_BITS classes; the values for weight one, by far
-the most common, are tabulated once a worker, all others computed.
+A term is the whole 64-bit hash of its pair, so texts of any length share no
+terms but equal ones. The values for weight one, by far the most common, are
+kept in a table of 2**CACHE_BITS places a worker, each with the whole hash it
+is for; a term that isn't there is computed. Terms are taken SLICE at a time.
 
 The document that follows another in descending id order is found without a
 global sort: ids are cut into ranges at approximate quantiles, each range is
@@ -36,34 +38,54 @@ from . import common
 from .quality import word_hashes
 
 SAMPLES = 64
-TERM_BITS = 17
-#: Characters of text handled at a time: SAMPLES numbers a term are held for each.
+CACHE_BITS = 17
+#: Terms handled at a time: SAMPLES numbers are held for each.
+SLICE = 4096
+#: Terms whose variates are computed at a time: their numbers stay in the processor's cache.
+PIECE = 256
+#: Characters of text handled at a time.
 STEP = 1 << 17
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_TABLE: list[np.ndarray] = []
+_CACHE: list[np.ndarray] = []
 
 
 def variates(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and b of each term at each sample."""
+    """r, ln c and b of each term at each sample, from five times 24 of the 128 bits of two hashes."""
     base = common.mix(terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))[:, None] + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
-    u = []
-    for i in range(5):
-        h = common.mix(base + np.uint64((i + 1) * 0x8CB92BA72F3D8DD7 % 2**64)) >> np.uint64(40)
-        u.append((h.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24))
-    return -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
-
-
-def _weight_one() -> np.ndarray:
-    if not _TABLE:
-        out = np.empty((1 << TERM_BITS, SAMPLES), np.float32)
-        for at in range(0, len(out), 4096):
-            r, c, b = variates(np.arange(at, at + 4096))
-            out[at : at + 4096] = c - r * (1 - b)
-        _TABLE.append(out)
-    return _TABLE[0]
+    halves = [h for i in (1, 2) for h in _halves(common.mix(base + np.uint64(i * 0x8CB92BA72F3D8DD7 % 2**64)))]
+    low = np.uint32(0xFF)
+    last = (halves[0] & low) << np.uint32(16) | (halves[1] & low) << np.uint32(8) | halves[2] & low
+    u = [((h >> np.uint32(8)).view(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24) for h in halves]
+    return -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), (last.view(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+
+
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
+
+
+def _weight_one(terms: np.ndarray) -> np.ndarray:
+    """The values of terms of weight one at each sample."""
+    if not _CACHE:
+        known = np.zeros(1 << CACHE_BITS, np.uint64)
+        known[0] = np.uint64(0xFFFFFFFFFFFFFFFF)  # an empty place holds a hash that belongs to another
+        _CACHE.extend((known, np.empty((1 << CACHE_BITS, SAMPLES), np.float32)))
+    known, table = _CACHE
+    place = (terms >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+    out = table[place]
+    miss = np.flatnonzero(known[place] != terms)
+    if len(miss):
+        new, inverse = np.unique(terms[miss], return_inverse=True)
+        value = np.empty((len(new), SAMPLES), np.float32)
+        for at in range(0, len(new), PIECE):
+            r, c, b = variates(new[at : at + PIECE])
+            value[at : at + PIECE] = c - r * (1 - b)
+        out[miss] = value[inverse]
+        own, first = np.unique(new >> np.uint64(64 - CACHE_BITS), return_index=True)
+        known[own.astype(np.int64)], table[own.astype(np.int64)] = new[first], value[first]
+    return out
 
 
-def _codes(terms: np.ndarray, t: np.ndarray | int) -> np.ndarray:
+def _codes(terms: np.ndarray, t: np.ndarray) -> np.ndarray:
     return (common.mix(terms.astype(np.uint64) * np.uint64(0x100000001B3) + np.asarray(t, np.int64).view(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -73,32 +95,42 @@ def weighted_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
     before = np.concatenate([[np.uint64(0)], w[:-1]]) if len(w) else w
     before = np.where(np.append(True, doc[1:] != doc[:-1]) if len(w) else np.zeros(0, bool), np.uint64(0), before)
-    pair = common.mix(before * np.uint64(3) ^ w * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TERM_BITS)
-    both, n = np.unique((doc.astype(np.int64) << TERM_BITS) | pair.astype(np.int64), return_counts=True)
-    return both >> TERM_BITS, both & ((1 << TERM_BITS) - 1), n
+    pair = common.mix(before * np.uint64(3) ^ w * np.uint64(0x9E3779B97F4A7C15))
+    order = np.lexsort((pair, doc))
+    doc, pair = doc[order], pair[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1]))) if len(doc) else order
+    return doc[first], pair[first], np.diff(np.append(first, len(doc)))
 
 
 def signatures(texts: list[str | None]) -> list[np.ndarray | None]:
     """The signature of each text, None without words."""
     doc, term, n = weighted_terms(texts)
-    out: list[np.ndarray | None] = [None] * len(texts)
-    if not len(doc):
-        return out
-    value = _weight_one()[term]
-    code = np.repeat(_codes(term, 0)[:, None], SAMPLES, 1)
-    for many in np.array_split(np.flatnonzero(n > 1), max(1, (n > 1).sum() // 2048)):
-        if len(many):
-            r, c, b = variates(term[many])
-            t = np.floor(np.log(n[many].astype(np.float32))[:, None] / r + b)
-            value[many] = c - r * (t - b + 1)
-            code[many] = _codes(np.repeat(term[many][:, None], SAMPLES, 1), t.astype(np.int64))
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    least = np.minimum.reduceat(value, first, axis=0)
-    size = np.diff(np.append(first, len(doc)))
-    code[value != np.repeat(least, size, axis=0)] = 0
-    for k, row in zip(doc[first], np.maximum.reduceat(code, first, axis=0), strict=True):
-        out[k] = row
-    return out
+    least = np.full((len(texts), SAMPLES), np.inf, np.float32)
+    best = np.zeros((len(texts), SAMPLES), np.uint16)
+    for at in range(0, len(doc), SLICE):
+        d, w, k = doc[at : at + SLICE], term[at : at + SLICE], n[at : at + SLICE]
+        value = _weight_one(w)
+        t = np.zeros((len(often := np.flatnonzero(k > 1)), SAMPLES), np.float32)
+        for i in range(0, len(often), PIECE):
+            many = often[i : i + PIECE]
+            r, c, b = variates(w[many])
+            t[i : i + PIECE] = np.floor(np.log(k[many].astype(np.float32))[:, None] / r + b)
+            value[many] = c - r * (t[i : i + PIECE] - b + 1)
+        first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+        size = np.diff(np.append(first, len(d)))
+        low = np.minimum.reduceat(value, first, axis=0)
+        row, sample = np.nonzero(value == np.repeat(low, size, axis=0))
+        times = np.zeros(len(row), np.int64)
+        counted = np.flatnonzero(k[row] > 1)
+        times[counted] = t[np.searchsorted(often, row[counted]), sample[counted]]
+        high = np.zeros(low.shape, np.uint16)
+        np.maximum.at(high, (np.repeat(np.arange(len(first)), size)[row], sample), _codes(w[row], times))
+        own = d[first]
+        before = np.where(least[own] <= low, best[own], 0)
+        best[own] = np.maximum(before, np.where(low <= least[own], high, 0))
+        least[own] = np.minimum(least[own], low)
+    there = np.bincount(doc, minlength=len(texts)) > 0
+    return [row if k else None for row, k in zip(best, there, strict=True)]
 
 
 def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:

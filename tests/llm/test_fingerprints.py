@@ -26,6 +26,23 @@ def test_collisions_follow_generalised_jaccard():
     assert signed / 60 == pytest.approx(exact / 60, abs=0.025)
 
 
+@pytest.mark.parametrize("n", [5_000, 100_000])
+def test_long_unrelated_texts_are_unlike(n):
+    x, y = fp.signatures([" ".join(f"{side}{i}" for i in range(n)) for side in "ab"])
+    assert fp.likeness(x, y) < 0.05
+
+
+def test_terms_of_one_place_and_slices(monkeypatch):
+    terms = np.arange(50, dtype=np.uint64) + np.uint64(5 << 60)
+    for _ in range(2):
+        r, c, b = fp.variates(terms)
+        assert np.array_equal(fp._weight_one(terms), c - r * (1 - b))
+    texts = ["a b a b c", None, " ".join(f"w{i % 300} v" for i in range(500)), "", "a b a b d"]
+    whole = fp.signatures(texts)
+    monkeypatch.setattr(fp, "SLICE", 7)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, fp.signatures(texts), strict=True))
+
+
 def brute(rows_):
     order = sorted(rows_, key=lambda r: (r[0] is not None, r[0] or 0, ), reverse=True)
     order = sorted(order, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
