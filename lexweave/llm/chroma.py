@@ -12,8 +12,10 @@ unequal bits of at most ``most_errors`` is a match.
 
 Search: recordings with equal fingerprints are one class; the classes of the
 query rows are held in blocks of at most BLOCK_FRAMES integers, each block is
-broadcast and meets every class of recordings once. A task keeps the ``k`` best matches a
-query, so no list of pairs is made, however many near copies a recording has; every match is counted.
+broadcast and meets every class of recordings once. ``matches`` gives every pair of a query's
+class and a class that aligns with it, its own included, and ``members`` the class of every recording; both together
+are every pair of aligning recordings, and copies don't multiply rows. ``search`` is a
+report from them: the ``k`` best matches a query and the number of all.
 
 The tables hold no audio, so the registered query takes a recording of each
 conversation turn: every word is a chord of two notes, chosen by its hash, HOP samples long.
@@ -42,6 +44,9 @@ FRAME = 512
 HOP = 256
 WIDE = 8
 BLOCK_FRAMES = 1 << 18
+#: About so many matches are held before they are passed on.
+MOST_ROWS = 1 << 14
+MATCHES = "query_class long, class long, offset long, errors double"
 Decoder = Callable[[object], np.ndarray]
 
 
@@ -196,36 +201,47 @@ class Block:
         return out
 
 
+def members(prints: DataFrame, is_query) -> DataFrame:
+    """key, fp, is_query and class of every row of ``prints`` (key, fp); a null class where there are no integers."""
+    own = F.when(F.octet_length("fp") > 0, F.xxhash64("fp"))
+    return prints.select("key", "fp", is_query.alias("is_query"), own.alias("class"))
+
+
+def matches(placed: DataFrame, votes: int = 3, most_errors: float = 0.25) -> DataFrame:
+    """query_class, class, offset and errors of every class that aligns with the class of a query; ``placed``: from ``members``."""
+    spark = placed.sparkSession
+    classes = common.cut(placed.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("fp").alias("fp"), F.max(F.col("is_query").cast("int")).alias("asks")))
+    found = None
+    for number, (names, fps) in enumerate(_blocks(classes.where("asks = 1").select("class", "fp").orderBy("class"))):
+        part = _meet(classes, spark.sparkContext.broadcast((names, Block(fps, number))), votes, most_errors)
+        found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], MATCHES) if found is None else found
+
+
 def search(prints: DataFrame, is_query, k: int = 3, votes: int = 3, most_errors: float = 0.25) -> DataFrame:
-    """key, n_matches and the k best matches (key, offset, errors) of every query row, itself left out.
+    """key, n_matches and the k best matches (key, offset, errors) of every query row, itself left out: a report, ``matches`` has all.
 
     ``prints``: key, fp. n_matches counts the other rows that align, equal recordings included.
     """
-    spark = prints.sparkSession
-    prints = common.cut(prints)
-    sound = prints.where(F.octet_length("fp") > 0)
-    classes = sound.groupBy("fp").agg(F.count("*").alias("copies"), F.min("key").alias("key"), F.max(is_query.cast("int")).alias("asks"))
-    near = _few_keys(sound, k + 1)
-    classes = common.cut(classes.join(near, "fp").withColumn("class", F.xxhash64("fp", "key")).drop("key"))
-    asking = classes.where("asks = 1").select("class", "fp").orderBy("class")
-    found = None
-    for number, (names, fps) in enumerate(_blocks(asking)):
-        shared = spark.sparkContext.broadcast((names, Block(fps, number)))
-        part = _meet(classes, shared, k + 1, votes, most_errors)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "class long, hits long, best array<struct<errors:double,key:" + prints.schema["key"].dataType.simpleString() + ",offset:long>>")
-    best = found.groupBy("class").agg(F.sum("hits").alias("hits"), F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
-    asked = prints.where(is_query).join(classes.select("fp", "class"), "fp", "left").join(best, "class", "left")
+    placed = common.cut(members(prints, is_query))
+    found = common.cut(matches(placed, votes, most_errors))
+    sound = placed.where(F.col("class").isNotNull())
+    copies = sound.groupBy("class").agg(F.count("*").alias("copies"))
+    hits = found.join(copies, "class").groupBy("query_class").agg(F.sum("copies").alias("hits"))
+    near = found.join(_few_keys(sound, k + 1), "class").select("query_class", F.explode("keys").alias("key"), "errors", "offset")
+    rank = F.row_number().over(Window.partitionBy("query_class").orderBy("errors", "key", "offset"))
+    near = near.withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    best = near.groupBy("query_class").agg(F.sort_array(F.collect_list(F.struct("errors", "key", "offset"))).alias("best"))
+    asked = placed.where("is_query").select("key", "class").join(hits.join(best, "query_class").withColumnRenamed("query_class", "class"), "class", "left")
     others = F.slice(F.filter("best", lambda m: m["key"] != F.col("key")), 1, k)
     return asked.select("key", F.greatest(F.coalesce("hits", F.lit(0)) - F.col("class").isNotNull().cast("long"), F.lit(0)).alias("n_matches"), others.alias("best"))
 
 
 def _few_keys(rows: DataFrame, k: int) -> DataFrame:
-    """The k least keys of each fingerprint; the limit on the rank also cuts each task's rows before they are shuffled."""
-    rank = F.row_number().over(Window.partitionBy("fp").orderBy("key"))
-    few = rows.select("fp", "key", rank.alias("rank")).where(F.col("rank") <= k)
-    return few.groupBy("fp").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    """The k least keys of each class; the limit on the rank also cuts each task's rows before they are shuffled."""
+    rank = F.row_number().over(Window.partitionBy("class").orderBy("key"))
+    few = rows.select("class", "key", rank.alias("rank")).where(F.col("rank") <= k)
+    return few.groupBy("class").agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 
 def _blocks(asking: DataFrame) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -241,42 +257,43 @@ def _blocks(asking: DataFrame) -> Iterator[tuple[list[int], list[bytes]]]:
         yield names, fps
 
 
-def _rank(match: tuple[float, tuple, int]) -> tuple:
-    """By errors, then key, nulls first."""
-    errors, key, offset = match
-    return errors, tuple((x is not None, x or 0) for x in key), offset
-
-
-def _meet(classes: DataFrame, shared, k: int, votes: int, most_errors: float) -> DataFrame:
-    """For each query class a task's number of matching rows and its best matches."""
+def _meet(classes: DataFrame, shared, votes: int, most_errors: float) -> DataFrame:
+    """Every match of a block's query classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, block = shared.value
-        hits: dict[int, int] = {}
-        best: dict[int, list[tuple[float, tuple, int]]] = {}
+        kind = pa.schema([("query_class", pa.int64()), ("class", pa.int64()), ("offset", pa.int64()), ("errors", pa.float64())])
         for batch in batches:
-            for fp, copies, keys in zip(*batch.columns, strict=True):
-                keys = [tuple(x.values()) for x in keys.as_py()]
-                for q, offset, errors in block.matches(np.frombuffer(fp.as_py(), "<u4"), votes, most_errors):
-                    hits[q] = hits.get(q, 0) + copies.as_py()
-                    mine = best.setdefault(q, [])
-                    mine += [(errors, key, offset) for key in keys]
-                    if len(mine) > 64:
-                        mine.sort(key=_rank)
-                        del mine[k:]
-        rows = [{"class": names[q], "hits": hits[q], "best": [{"errors": e, "key": dict(zip(columns, key, strict=True)), "offset": o} for e, key, o in sorted(best[q], key=_rank)[:k]]} for q in hits]
-        kind = pa.schema([("class", pa.int64()), ("hits", pa.int64()), ("best", pa.list_(pa.struct([("errors", pa.float64()), ("key", key_type), ("offset", pa.int64())])))])
-        yield from pa.Table.from_pylist(rows, kind).to_batches()
-
-    inner = classes.schema["keys"].dataType.elementType
-    columns = inner.names
-    key_type = pa.struct([(c, pa.int64()) for c in columns])
-    schema = f"class long, hits long, best array<struct<errors:double,key:{inner.simpleString()},offset:bigint>>"
-    return classes.select("fp", "copies", "keys").mapInArrow(run, schema)
+            rows = []
+            for name, fp in zip(*batch.columns, strict=True):
+                rows += [(names[q], name.as_py(), offset, errors) for q, offset, errors in block.matches(np.frombuffer(fp.as_py(), "<u4"), votes, most_errors)]
+                if len(rows) >= MOST_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
+
+    return classes.select("class", "fp").mapInArrow(run, MATCHES)
+
+
+def _placed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = fingerprints(common.table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", sonify)
+    return members(prints, F.coalesce(F.col("key.conv_id") % 50 == 0, F.lit(False)))
 
 
 def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations whose id is divisible by 50, against all turns."""
+    """Every match of the turns of conversations whose id is divisible by 50 with all turns, by class; op6_chroma_members has the turns of a class."""
+    found = matches(common.cut(_placed_turns(spark, sf_dir)))
+    return found.select("query_class", "class", "offset", F.round("errors", 6).alias("errors"))
+
+
+def op6_chroma_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every turn, null where it has no integers."""
+    return _placed_turns(spark, sf_dir).select(F.col("key.conv_id").alias("conv_id"), F.col("key.turn").alias("turn"), "is_query", "class")
+
+
+def op6_chroma_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report on the turns that ask: the three best matches and the number of all."""
     turns = common.table(spark, sf_dir, "conversations")
     prints = fingerprints(turns, ["conv_id", "turn"], "text", sonify)
     got = search(prints, F.coalesce(F.col("key.conv_id") % 50 == 0, F.lit(False)))

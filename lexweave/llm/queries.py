@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         langid.op4_language_id,
         warc.op5_warc,
         chroma.op6_chroma,
+        chroma.op6_chroma_members,
+        chroma.op6_chroma_best,
         toxicity.op7_toxicity,
         fingerprints.op8_fingerprint,
         pieces.op9_sentencepiece,

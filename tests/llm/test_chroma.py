@@ -83,6 +83,22 @@ def test_search_equals_brute_force(spark, songs, monkeypatch, block):
     assert want[0][0] == 2 and want[0][1][1][2] == 13 and want[100][0] == 2
 
 
+@pytest.mark.parametrize("block", [40, 1 << 18])
+def test_matches_and_members_give_every_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(chroma, "BLOCK_FRAMES", block)
+    rows = [(k, song(k, 40)) for k in range(10)] + [(20 + k, song(0, 40)) for k in range(5)] + [(30 + k, song(60 + k, 9 + k) + " " + song(0, 40)) for k in range(5)]
+    prints = chroma.fingerprints(spark.createDataFrame(rows, "id long, text string"), ["id"], "text", chroma.sonify).cache()
+    placed = chroma.members(prints, F.col("key.id") % 50 == 0).cache()
+    of = {}
+    for r in placed.collect():
+        of.setdefault(r["class"], []).append(r["key"]["id"])
+    found = chroma.matches(placed).collect()
+    got = sorted((r["errors"], (k,), r["offset"]) for r in found if 0 in of[r["query_class"]] for k in of[r["class"]] if k)
+    want = brute({r["key"]["id"]: np.frombuffer(r["fp"], "<u4") for r in prints.collect()}, None)[0]
+    assert got == want[1] and len(got) == want[0] >= 10
+    assert len(found) == len({(r["query_class"], r["class"]) for r in found}) < want[0]
+
+
 def test_odd_rows(spark):
     odd = chroma.fingerprints(docs(spark), ["doc_id", "n_chars"], "text", chroma.sonify)
     got = chroma.search(odd, F.lit(True)).collect()
