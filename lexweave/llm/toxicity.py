@@ -27,6 +27,7 @@ results; an empty table gives an empty result. Other input columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,8 +41,6 @@ from .quality import among, labelled
 
 ORDER = 8
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(ORDER + 1)], np.uint64)
-#: From this order on, sequences counted once in all aren't kept: they back off.
-RARE = 5
 #: A word's normalised log ratio counts as support from here.
 SUPPORT = 0.7
 EIGHT = np.uint64(8)
@@ -64,7 +63,7 @@ def grams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Lookup:
-    """Values by 64-bit key: one slot a key in an open table, keys that meet in a slot in a sorted list beside it. Only keys and values are pickled."""
+    """Values by 64-bit key: one slot a key in an open table, keys that meet in a slot in a sorted list beside it. Only keys, as packed differences, and values are pickled."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.given = keys, values.astype(np.float32)
@@ -80,7 +79,10 @@ class Lookup:
         self.more_keys, self.more_values = keys[rest], values[rest].astype(np.float32)
 
     def __reduce__(self):
-        return Lookup, self.given
+        keys, values = self.given
+        order = np.argsort(keys, kind="stable")
+        steps = np.diff(keys[order], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+        return _unpacked, (zlib.compress(steps.T.tobytes(), 1), zlib.compress(values[order].view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         h = keys * np.uint64(0x9E3779B97F4A7C15)
@@ -97,6 +99,11 @@ class Lookup:
         return hit, np.where(hit, value, np.float32(0))
 
 
+def _unpacked(steps: bytes, values: bytes) -> Lookup:
+    keys = np.frombuffer(zlib.decompress(steps), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+    return Lookup(np.cumsum(keys, dtype=np.uint64), np.frombuffer(zlib.decompress(values), np.uint8).reshape(4, -1).T.copy().view(np.float32).ravel())
+
+
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u, inverse = np.unique(keys, return_inverse=True)
     return u, np.bincount(inverse, weights, len(u))
@@ -152,10 +159,8 @@ class KneserNey:
                 own = np.maximum(_find(k, v, keys, 0.0) - d, 0) / np.maximum(t, 1)
                 now.append(own + np.where(t > 0, _find(h, share, keys >> EIGHT, 1.0), 1.0) * base)
                 lam.append(_find(h, share, contexts, 1.0))
-            often = np.ones(len(keys), bool) if n < RARE else sum(_find(*counts[n], keys, 0.0) for counts in classes) > 1
-            model.seen[n] = Lookup(keys[often], np.log(now[0] / now[1])[often])
-            known = np.isin(contexts, keys[often] >> EIGHT)
-            model.backoff[n] = Lookup(contexts[known], np.log(lam[0] / lam[1])[known])
+            model.seen[n] = Lookup(keys, np.log(now[0] / now[1]))
+            model.backoff[n] = Lookup(contexts, np.log(lam[0] / lam[1]))
             lower_keys, lower = keys, now
         return model
 
@@ -264,6 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([*map(pa.array, evidence(shared.value, run)), batch.column(1).slice(start, len(run))], names=["n", "mean", "peak", "support", "label"])
 
     seen = sample.where(~counted).select("text", "label").mapInArrow(measure, "n double, mean double, peak double, support double, label int").toArrow()
+    shared.destroy()
     x = _design(*(seen[c].to_numpy() for c in ("n", "mean", "peak", "support")))
     y = seen["label"].to_numpy().astype(float)
     ok = x[:, 3] > 0

@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 import pytest
 
@@ -68,6 +70,15 @@ def test_probabilities_equal_a_direct_recursion():
         assert hit.all() and np.allclose(got, [np.log(p(0, int(k), n) / p(1, int(k), n)) for k in keys], atol=1e-5)
 
 
+def test_sequences_after_one_byte_are_kept():
+    classes = [toxicity.counts_by_order([b"moron"], np.array([50.0])), toxicity.counts_by_order([b"table"], np.array([50.0]))]
+    model = pickle.loads(pickle.dumps(toxicity.KneserNey.fit(classes)))
+    for n in range(2, toxicity.ORDER + 1):
+        keys = np.union1d(classes[0][n][0], classes[1][n][0])
+        assert model.seen[n].get(keys)[0].all() and model.backoff[n].get(np.unique(keys >> toxicity.EIGHT))[0].all()
+    assert model.seen[5].get(np.array([int.from_bytes(b"moron", "big")], np.uint64))[0].all()
+
+
 def test_lookup():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     table = toxicity.Lookup(keys, np.arange(len(keys)))
