@@ -8,8 +8,8 @@ all segmentations that end in it. Random numbers are a function of
 
 No piece goes from a letter on to a space, and a character that is in no longer
 piece stands alone; so the lattice falls into units at these places, and
-the filter runs once for each different unit of a chunk while every occurrence draws by
-itself. Piece weights: a unigram model's scores are log probabilities; the scores
+the filter runs once for each different unit a worker meets (a bounded table keeps
+them) while every occurrence draws by itself. Piece weights: a unigram model's scores are log probabilities; the scores
 of a BPE model are ranks and are read as Zipf weights, 1 / (rank + 10). ``alpha``
 sharpens (above 1) or flattens the distribution.
 
@@ -39,8 +39,12 @@ from .toxicity import Lookup
 SPACE = 0x2581
 #: Stands in the lattice for the space character of pieces where the text itself holds it.
 LITERAL = 0x110000
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: No edge.
+NONE = np.iinfo(np.int32).min
+#: Characters a chunk has, and what a worker's table of units holds at most.
 STEP = 1 << 17
+PLACES = 1 << 21
+EDGES = 1 << 22
 
 
 def default_model() -> str:
@@ -51,14 +55,15 @@ def default_model() -> str:
 
 @dataclass
 class Vocabulary:
+    """Pieces and weights; ``steps`` is a trie over them: from (node, character) to the next node, whose piece, or -1, is ``piece_of``."""
+
     pieces: list[bytes]
     byte_ids: np.ndarray
-    keys: np.ndarray
-    ids: np.ndarray
     weights: np.ndarray
     longest: int
+    steps: tuple[np.ndarray, np.ndarray]
+    piece_of: np.ndarray
     joined: np.ndarray
-    alpha: float
 
     @classmethod
     def load(cls, path: str, alpha: float = 1.0) -> Vocabulary:
@@ -78,35 +83,34 @@ class Vocabulary:
         pieces = [t.replace("▁", " ").encode() if normal[i] else b"" for i, t in enumerate(texts)]
         for b, i in enumerate(byte_ids):
             pieces[i] = bytes([b])
-        own = [i for i in range(n) if normal[i]]
-        keys = np.array([_key(np.array([ord(c) for c in texts[i]], np.uint64)) for i in own], np.uint64)
-        inner = {ord(c) for i in own if len(texts[i]) > 1 for c in texts[i]} | {SPACE}
-        return cls(pieces, byte_ids, keys, np.array(own, np.int32), weights, max(len(texts[i]) for i in own), np.array(sorted(inner), np.uint32), alpha)
-
-    def lookup(self) -> Lookup:
-        if not hasattr(self, "_lookup"):
-            self._lookup = Lookup(self.keys, self.ids)
-        return self._lookup
-
-
-def _prefix(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of c_i * BASE**i before each place, and powers of BASE."""
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), BASE)]), dtype=np.uint64)
-    return np.concatenate([[np.uint64(0)], np.cumsum(common.mix(codes) * power[:-1], dtype=np.uint64)]), power
-
-
-def _key(codes: np.ndarray) -> np.uint64:
-    sums, power = _prefix(codes)
-    return sums[-1]
-
-
-def _inverse(power_base: np.uint64) -> int:
-    return pow(int(power_base), -1, 1 << 64)
+        trie: dict[tuple[int, int], int] = {}
+        piece_of = [-1]
+        for i in np.flatnonzero(normal).tolist():
+            node = 0
+            for c in texts[i]:
+                step = trie.setdefault((node, ord(c)), len(piece_of))
+                if step == len(piece_of):
+                    piece_of.append(-1)
+                node = step
+            piece_of[node] = i
+        steps = np.array([node << 21 | c for node, c in trie], np.uint64), np.array(list(trie.values()))
+        own = [t for t, k in zip(texts, normal, strict=True) if k]
+        inner = {ord(c) for t in own if len(t) > 1 for c in t} | {SPACE}
+        return cls(pieces, byte_ids, weights, max(map(len, own)), steps, np.array(piece_of, np.int32), np.array(sorted(inner), np.uint32))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def lattices(self) -> Lattices:
+        """The units this process has met."""
+        if not hasattr(self, "_lattices"):
+            self._lattices = Lattices(self)
+        return self._lattices
 
 
 def _units(codes: np.ndarray, text_start: np.ndarray, joined: np.ndarray) -> np.ndarray:
     """Where units begin."""
-    alone = joined[np.minimum(np.searchsorted(joined, codes), len(joined) - 1)] != codes
+    alone = ~joined[codes]
     space = codes == SPACE
     begin = np.zeros(len(codes), bool)
     begin[text_start] = True
@@ -114,60 +118,102 @@ def _units(codes: np.ndarray, text_start: np.ndarray, joined: np.ndarray) -> np.
     return np.flatnonzero(begin)
 
 
-def _logsumexp(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    top = np.maximum.reduceat(values, first)
-    return top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, size)), first))
-
-
-def _lattice(codes: np.ndarray, start: np.ndarray, size: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, ...]:
-    """Edges into each place of the units, in order of place: (place, start, id, cumulated probability). An id below 0 stands for the bytes of a character."""
-    place = np.concatenate([[0], np.cumsum(size + 1)])  # each unit has one place more than characters
-    unit = np.repeat(np.arange(len(size)), size)
-    offset = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
-    own = codes[start[unit] + offset]
-    sums, power = _prefix(own)
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(own), np.uint64(_inverse(BASE)))]), dtype=np.uint64)
-    left = size[unit] - offset
-    table = voc.lookup()
-    heads, tails, ids = [], [], []
-    at = np.arange(len(own))
-    base = place[unit] + offset
-    for n in range(1, voc.longest + 1):
-        at = at[left[at] >= n]
-        if not len(at):
-            break
-        hit, value = table.get((sums[at + n] - sums[at]) * inverse[at])
-        heads.append(base[at[hit]])
-        tails.append(base[at[hit]] + n)
-        ids.append(value[hit].astype(np.int64))
-        if n == 1:
-            miss = at[~hit]
-            heads.append(base[miss])
-            tails.append(base[miss] + 1)
-            ids.append(-own[miss].astype(np.int64) - 1)
-    head, tail, piece = map(np.concatenate, (heads, tails, ids))
-    weight = np.where(piece >= 0, voc.weights[np.maximum(piece, 0)], voc.weights[voc.byte_ids[0]] * _width(-piece - 1))
-    depth = np.concatenate([np.arange(s + 1) for s in size.tolist()]) if len(size) < 64 else np.arange(place[-1]) - np.repeat(place[:-1], size + 1)
-    order = np.lexsort((tail, depth[tail]))
-    head, tail, piece, weight = head[order], tail[order], piece[order], weight[order]
-    score = np.zeros(len(head))
-    forward = np.zeros(place[-1])
-    new = np.flatnonzero(np.append(True, tail[1:] != tail[:-1]))
-    level = np.concatenate([[0], np.flatnonzero(np.diff(depth[tail[new]])) + 1, [len(new)]])
-    ends = np.append(new[1:], len(tail))
-    for a, b in zip(level[:-1], level[1:], strict=True):
-        lo, hi = new[a], ends[b - 1]
-        score[lo:hi] = forward[head[lo:hi]] + weight[lo:hi]
-        forward[tail[new[a:b]]] = _logsumexp(score[lo:hi], new[a:b] - lo, ends[a:b] - new[a:b])
-    p = np.exp(score - forward[tail])
-    order = np.argsort(tail, kind="stable")
-    head, tail, piece, p = head[order], tail[order], piece[order], p[order]
-    total = np.cumsum(p)
-    new = np.flatnonzero(np.append(True, tail[1:] != tail[:-1]))
-    before = np.repeat(total[new] - p[new], np.diff(np.append(new, len(tail))))
-    within = np.minimum(total - before, 1.0)
-    within[np.append(new[1:], len(tail)) - 1] = 1.0
-    return tail, head, piece, within, place
+class Lattices:
+    """Filtered lattices of units, kept in a table of at most ``PLACES`` places and ``EDGES`` edges (or of what one chunk needs) that is emptied when full.
+
+    A unit has a place after each of its characters; the edges into a place
+    are pieces by length, each with the probability that the drawn one is it
+    or a shorter one. All of it is a function of the unit alone, so a draw
+    doesn't depend on what else the table holds.
+    """
+
+    def __init__(self, voc: Vocabulary):
+        self.weights, self.longest, self.byte_weight = voc.weights, voc.longest, voc.weights[voc.byte_ids[0]]
+        self.joined = np.zeros(LITERAL + 1, bool)
+        self.joined[voc.joined] = True
+        keys, nodes = voc.steps
+        self.root = np.zeros(LITERAL + 1, np.int32)
+        self.root[keys[keys < 1 << 21].astype(np.int64)] = nodes[keys < 1 << 21]
+        self.steps, self.piece_of = Lookup(keys, nodes), voc.piece_of
+        self._empty(0, 0)
+
+    def _empty(self, places: int, edges: int) -> None:
+        self.number: dict[int, int] = {}
+        self.places = self.edges = 0
+        self.first = np.empty(max(PLACES, places) + 1, np.int32)
+        self.upto = np.empty(max(EDGES, edges))
+        self.piece = np.empty(max(EDGES, edges), np.int32)
+        self.span = np.empty(max(EDGES, edges), np.uint8)
+
+    def find(self, names: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The first place of each unit, given by its hash and its part of codes."""
+        known = self.number
+        at = np.fromiter((known.get(n, -1) for n in names.tolist()), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            new = new[np.argsort(size[new], kind="stable")]
+            built = self._build(codes, start[new], size[new])
+            if self.places + len(built[0]) >= len(self.first) or self.edges + len(built[1]) > len(self.upto):
+                new = np.argsort(size, kind="stable")
+                built = self._build(codes, start[new], size[new])
+                self._empty(len(built[0]), len(built[1]))
+            at[new] = self._append(names[new], size[new], *built)
+        return at
+
+    def _append(self, names: np.ndarray, size: np.ndarray, first: np.ndarray, upto: np.ndarray, piece: np.ndarray, span: np.ndarray) -> np.ndarray:
+        base = self.places + np.cumsum(size) - size
+        self.number.update(zip(names.tolist(), base.tolist(), strict=True))
+        self.first[self.places : self.places + len(first)] = first + self.edges
+        for whole, part in ((self.upto, upto), (self.piece, piece), (self.span, span)):
+            whole[self.edges : self.edges + len(part)] = part
+        self.places += len(first)
+        self.edges += len(upto)
+        return base
+
+    def _build(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """(first edge of each place; probability up to, piece and length of each edge) of units in order of size, block by block of about STEP characters or one longer unit."""
+        block = (np.cumsum(size) - 1) // STEP * 3 + np.searchsorted([6, 10], size)
+        cuts = np.searchsorted(block, np.unique(block)).tolist() + [len(size)]
+        built = [self._filter(codes, start[a:b], size[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        edges = np.cumsum([0, *(len(b[1]) for b in built)])
+        built = [(b[0] + e, *b[1:]) for b, e in zip(built, edges, strict=False)]
+        return [np.concatenate(c) for c in zip(*built, strict=True)]
+
+    def _filter(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        base = np.cumsum(size) - size
+        offset = np.arange(int(size.sum())) - np.repeat(base, size)
+        own = codes[np.repeat(start, size) + offset]
+        left = np.repeat(size, size) - offset
+        into = np.full((len(own), min(self.longest, int(size[-1]))), NONE, np.int32)  # the piece of each length that ends at a place
+        at = np.arange(len(own))
+        node = self.root[own]
+        into[:, 0] = np.where(self.piece_of[node] >= 0, self.piece_of[node], -own.astype(np.int32) - 1)
+        for n in range(2, into.shape[1] + 1):
+            more = (node > 0) & (left[at] >= n)
+            at, node = at[more], node[more]
+            if not len(at):
+                break
+            hit, step = self.steps.get(node.astype(np.uint64) << np.uint64(21) | own[at + n - 1])
+            at, node = at[hit], step[hit].astype(np.int32)
+            is_piece = self.piece_of[node] >= 0
+            into[at[is_piece] + n - 1, n - 1] = self.piece_of[node[is_piece]]
+        upto = np.where(into >= 0, self.weights[np.maximum(into, 0)], -np.inf)
+        spelt = into[:, 0] < 0
+        upto[spelt, 0] = self.byte_weight * _width(own[spelt])
+        forward = np.zeros(len(own) + len(size))
+        zero = base + np.arange(len(size))
+        shorter = np.searchsorted(size, np.arange(int(size[-1]) + 1))
+        for depth in range(1, int(size[-1]) + 1):
+            m = min(depth, upto.shape[1])
+            row, place = base[shorter[depth] :] + depth - 1, zero[shorter[depth] :] + depth
+            score = upto[row, :m] + forward[place[:, None] - np.arange(1, m + 1)]
+            top = score.max(axis=1)
+            total = np.cumsum(np.exp(score - top[:, None]), axis=1)
+            forward[place] = top + np.log(total[:, -1])
+            upto[row, :m] = total / total[:, -1:]
+        row, span = np.nonzero(into != NONE)
+        last = np.append(row[1:] != row[:-1], True)
+        return np.searchsorted(row, np.arange(len(own))), np.where(last, 1.0, upto[row, span]), into[row, span], (span + 1).astype(np.uint8)
 
 
 def _width(codes: np.ndarray) -> np.ndarray:
@@ -185,31 +231,30 @@ def sample(texts: list[str | None], keys: np.ndarray, voc: Vocabulary, seed: int
     codes = np.concatenate(own)
     text_start = np.cumsum([0, *map(len, own)])[:-1]
     codes = np.where(codes == SPACE, LITERAL, np.where(codes == 32, SPACE, codes)).astype(np.uint32)
-    begin = _units(codes, text_start, voc.joined)
+    known = voc.lattices()
+    begin = _units(codes, text_start, known.joined)
     size = np.diff(np.append(begin, len(codes)))
-    sums, _ = _prefix(codes)
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), np.uint64(_inverse(BASE)))]), dtype=np.uint64)
-    name = (sums[begin + size] - sums[begin]) * inverse[begin] ^ common.mix(size)
+    offset = np.arange(len(codes)) - np.repeat(begin, size)
+    name = np.add.reduceat(common.mix(codes.astype(np.uint64) | offset.astype(np.uint64) << np.uint64(21)), begin) ^ common.mix(size)
     _, first, which = np.unique(name, return_index=True, return_inverse=True)
-    tail, head, piece, within, place = _lattice(codes, begin[first], size[first], voc)
-    group = np.cumsum(np.append(False, tail[1:] != tail[:-1])).astype(float)
-    rank_of = np.full(place[-1], -1.0)
-    rank_of[tail] = group
-    line = group + within * (1 - 1e-12)
+    base = known.find(name[first], codes, begin[first], size[first])[which]
     text = np.searchsorted(text_start, begin, "right") - 1
     rows = common.mix(keys[filled].astype(np.int64).view(np.uint64) ^ common.mix(np.array([seed], np.uint64)))
     nth = np.arange(len(begin)) - np.searchsorted(text, np.arange(len(filled)))[text]
     state = common.mix(rows[text] + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    at = place[which + 1] - 1
-    zero = place[which]
+    at = base + size - 1
     alive = np.arange(len(begin))
     drawn: list[tuple[np.ndarray, np.ndarray]] = []
     while len(alive):
         u = (common.mix(state[alive] + np.uint64((len(drawn) + 1) * 0x8CB92BA72F3D8DD7 % 2**64)) >> np.uint64(11)).astype(float) / 2.0**53
-        edge = np.searchsorted(line, rank_of[at[alive]] + u * (1 - 1e-9), "left")
-        drawn.append((alive, piece[edge]))
-        at[alive] = head[edge]
-        alive = alive[at[alive] > zero[alive]]
+        edge = known.first[at[alive]]
+        beyond = np.flatnonzero(known.upto[edge] < u)
+        while len(beyond):
+            edge[beyond] += 1
+            beyond = beyond[known.upto[edge[beyond]] < u[beyond]]
+        drawn.append((alive, known.piece[edge]))
+        at[alive] -= known.span[edge]
+        alive = alive[at[alive] >= base[alive]]
     count = np.zeros(len(begin), np.int64)
     for a, _ in drawn:
         count[a] += 1

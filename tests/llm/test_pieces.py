@@ -26,7 +26,7 @@ def test_lossless_and_reproducible(voc):
 
 def brute(text, voc):
     """Probability of every segmentation of a text into pieces of the vocabulary."""
-    weight = {voc.pieces[i]: voc.weights[i] for i in voc.ids}
+    weight = {voc.pieces[i]: voc.weights[i] for i in voc.piece_of.tolist() if i >= 0}
     out = {}
 
     def go(rest, so_far, total):
@@ -41,7 +41,19 @@ def brute(text, voc):
     return {k: v / norm for k, v in out.items()}
 
 
-@pytest.mark.parametrize("text", ["then", "in a", "  x"])
+def test_full_tables_change_no_draw(voc, monkeypatch):
+    texts = [f"{t} {i}" for i in range(40) for t in TEXTS if t and len(t) < 200] + [TEXTS[-1]]
+    keys = np.arange(len(texts))
+    want = pieces.sample(texts, keys, voc)
+    monkeypatch.setattr(pieces, "PLACES", 50)
+    monkeypatch.setattr(pieces, "EDGES", 60)
+    small = pieces.Vocabulary.load(pieces.default_model())
+    for part in (slice(0, 3), slice(3, 200), slice(200, None)):
+        for a, b in zip(pieces.sample(texts[part], keys[part], small), want[part], strict=True):
+            assert (a == b).all()
+
+
+@pytest.mark.parametrize("text", ["then", "in a", "  x", "the end, so", "2024 x", "Größe", "a--b", "日本", "isis isis"])
 def test_draws_follow_the_lattice(voc, text):
     n = 6000
     drawn = Counter(tuple(voc.pieces[i] for i in x) for x in pieces.sample([text] * n, np.arange(n), voc))
