@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one in local mode, else an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="lexweave-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -43,6 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -141,3 +149,57 @@ def summed_tables(rows: DataFrame, size: int, block: int = 4096) -> dict[str, np
         part = np.frombuffer(zlib.decompress(bytes(data)), "<i8")
         arr[b * block : b * block + len(part)] += part
     return out
+
+
+#: A bitmap has at most 2**MOST_BITS bits, 32 MB.
+MOST_BITS = 28
+
+
+@dataclass
+class Bitmap:
+    """Which hashes occur: never a false no, and a false yes the more often the fuller it is."""
+
+    bits: int
+    data: np.ndarray
+
+    def places(self, hashes: pa.Array) -> np.ndarray:
+        return (mix(hashes.to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def has(self, hashes: pa.Array) -> np.ndarray:
+        at = self.places(hashes)
+        return (self.data[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap(hashes: DataFrame, bits: int | None = None) -> Bitmap:
+    """A bitmap of the only column, longs without nulls; eight bits a row up to 2**MOST_BITS. Tasks send the blocks they have bits in, and these are united block by block."""
+    spark = hashes.sparkSession
+    if bits is None:
+        bits = int(np.clip(np.ceil(np.log2(8 * max(1, hashes.count()))), 12, MOST_BITS))
+    wide = min(bits, 17)
+    empty = Bitmap(bits, np.zeros(0, np.uint8))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.unique(empty.places(batch.column(0)))
+            cuts = np.append(np.flatnonzero(np.append(True, at[1:] >> wide != at[:-1] >> wide)), len(at)) if len(at) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                seen.setdefault(int(at[lo] >> wide), np.zeros(1 << wide, bool))[at[lo:hi] & ((1 << wide) - 1)] = True
+        yield blocks({b: np.packbits(x) for b, x in seen.items()})
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(zlib.decompress(x), np.uint8)
+                seen[b] = seen[b] | part if b in seen else part
+        yield blocks(seen)
+
+    def blocks(seen: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in seen.values()], pa.binary())], names=["block", "data"])
+
+    kind = "block int, data binary"
+    found = np.zeros(1 << bits - 3, np.uint8)
+    for b, x in hashes.mapInArrow(mark, kind).repartition(max(1, min(shuffle_width(spark), 1 << bits - wide)), "block").mapInArrow(unite, kind).collect():
+        found[b << wide - 3 : (b + 1) << wide - 3] = np.frombuffer(zlib.decompress(x), np.uint8)
+    return Bitmap(bits, found)

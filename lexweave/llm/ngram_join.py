@@ -14,19 +14,19 @@ Two documents link when their sets' Jaccard similarity is at least
    Shingles that are very frequent by the table are salted.
 3. Of every different set in a cluster one document is loaded. Group pairs
    are filtered by size and by how many prefix shingles they share; then their members are
-   expanded and verified exactly, unless already connected. Clusters over
+   expanded and every pair is verified exactly. Clusters over
    BLOCK documents or BLOCK_SHINGLES shingles are compared block by block, each pair of blocks by a task of its
    own, so no task holds more than two blocks.
-4. The links found (fewer than documents a task) are closed to components; equal sets follow their
-   representative.
+4. A task gives the number of links of each set, copies counted, and links that connect what is connected
+   (fewer than its documents). These are closed to components; equal sets follow their representative.
 
-Result: one row for each document with the size of its set and the smallest
-id that links reach.
+Result: one row for each document with the size of its set, the smallest
+id that links reach, and the number of other rows it links to.
 
 Defined results: null, empty and wordless texts have size 0 and are their own
 component; a text of one to four words is a single shingle; a null id has a
 null component and links with nothing; rows with equal ids count as one
-document, linked by any of their texts; an empty table gives an empty result.
+document, linked by any of their texts, but each row's number of links is that of its own text; an empty table gives an empty result.
 Other input columns are ignored.
 """
 
@@ -50,6 +50,8 @@ BLOCK = 2048
 BLOCK_SHINGLES = 1_000_000
 SALT_ROWS = 1 << 16
 MOST_SALTS = 256
+#: Parts a cluster's rows are dealt to where its size is joined to them.
+SPREAD = 8
 #: Lower-cases A to Z; the white space that parts words becomes a space.
 LOWER = bytes(32 if c in (32, 9, 10, 11, 12, 13) else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -137,41 +139,39 @@ def order_levels(docs: DataFrame) -> np.ndarray:
 
 
 def salts(level: np.ndarray, rows: int) -> np.ndarray:
-    return np.clip(np.ceil(2.0 ** ((level.astype(float) + 1) / 4) / rows), 1, MOST_SALTS).astype(np.int64)
+    """Parts that a counter's shingles are dealt to, by how far it is above what most counters hold."""
+    count = 2.0 ** ((level.astype(float) + 1) / 4)
+    usual = np.median(count) if level.any() else 0.0
+    return np.clip(np.ceil((count - 2 * usual) / rows), 1, MOST_SALTS).astype(np.int64)
 
 
-def clusters(docs: DataFrame, level, salt_rows: int) -> DataFrame:
-    """(node, component) of groups that share a prefix shingle, at places and with sizes that leave room for enough others."""
+def clusters(sets: DataFrame, level, salt_rows: int) -> DataFrame:
+    """(node, component) of groups that share a prefix shingle, at places and with sizes that leave room for enough others; ``sets``: n, gid, prefix."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lv = level.value
-        salt = salts(lv, salt_rows)
-        told: set[int] = set()
-        linked: set[tuple[int, int]] = set()
+        salt = salts(level.value, salt_rows)
+        linked: set[int] = set()
         for batch in batches:
-            for _, run in common.chunks(batch.column(0).to_pylist()):
-                s = Sets(run, lv)
-                fresh = np.zeros(len(run), bool)
-                for i, g in enumerate(s.gid.tolist()):
-                    if s.n[i] and g not in told:
-                        told.add(g)
-                        fresh[i] = True
-                take = s.in_prefix & fresh[s.doc]
-                token, gid = s.ordered[take], s.gid[s.doc[take]]
-                at = (s.n[s.doc[take]].astype(np.int64) << 32) | (np.arange(len(s.doc)) - s.start[s.doc])[take]
+            for at in range(0, len(batch), 4096):
+                n, group = (batch.column(i).slice(at, 4096).to_numpy() for i in range(2))
+                prefix = batch.column(2).slice(at, 4096).to_pylist()
+                size = np.array([len(p) // 8 for p in prefix], np.int64)
+                token = np.frombuffer(b"".join(prefix), "<u8").copy()
+                gid = np.repeat(group, size)
+                where = (np.repeat(n, size) << 32) | (np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size))
                 many = salt[bucket(token)]
                 hot = np.flatnonzero(many > 1)
                 part = common.mix(gid[hot].view(np.uint64)) % many[hot].astype(np.uint64)
                 plain = token[hot].copy()
                 token[hot] = common.mix(plain + part * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-                at[hot] = 0
+                where[hot] = 0
                 also = []
                 for k, key in enumerate(token[hot].tolist()):
                     if key not in linked:
                         linked.add(key)
                         also.append(k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([token, plain[also]]).view(np.int64)), pa.array(np.concatenate([at, at[hot][also]])), pa.array(np.concatenate([gid, gid[hot][also]]))], names=["token", "at", "gid"]
+                    [pa.array(np.concatenate([token, plain[also]]).view(np.int64)), pa.array(np.concatenate([where, where[hot][also]])), pa.array(np.concatenate([gid, gid[hot][also]]))], names=["token", "at", "gid"]
                 )
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,14 +195,21 @@ def clusters(docs: DataFrame, level, salt_rows: int) -> DataFrame:
                 top = max(top, (100 + PERCENT) * (n - i) - PERCENT * n)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], names=["a", "b"])
 
-    posted = docs.select("text").mapInArrow(postings, "token long, at long, gid long")
-    dealt = posted.repartition(common.shuffle_width(docs.sparkSession), "token").sortWithinPartitions("token", "at", "gid")
+    posted = sets.where("prefix IS NOT NULL").select("n", "gid", "prefix").mapInArrow(postings, "token long, at long, gid long")
+    dealt = posted.repartition(common.shuffle_width(sets.sparkSession), "token").sortWithinPartitions("token", "at", "gid")
     return graph.components(dealt.mapInArrow(stars, "a long, b long"))
 
 
-def link_members(ids: list[int], blocks: list[int], s: Sets) -> list[tuple[int, int]]:
-    """Links that connect what is connected among different blocks (or within the only one): a spanning forest."""
+def link_members(ids: list[int], blocks: list[int], copies: list[int], s: Sets) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links among different blocks (or within the only one): a spanning forest of them, and of each set the number of documents it links to.
+
+    ``copies``: how many documents have each set. A set and the members of one
+    group that pass the filters are compared at once.
+    """
     cross = len(set(blocks)) > 1
+    block = np.array(blocks)
+    weight = np.array(copies, np.int64)
+    count = np.zeros(len(ids), np.int64)
     up = list(range(len(ids)))
 
     def root(x: int) -> int:
@@ -214,123 +221,131 @@ def link_members(ids: list[int], blocks: list[int], s: Sets) -> list[tuple[int,
     groups: dict[int, list[int]] = defaultdict(list)
     for i in sorted(range(len(ids)), key=lambda i: (int(s.n[i]), ids[i])):
         groups[int(s.gid[i])].append(i)
-    members = list(groups.values())
+    members = [np.array(m) for m in groups.values()]
     n_of = np.array([s.n[m[0]] for m in members])
     p_of = np.array([s.p[m[0]] for m in members])
+    names, token = np.unique(s.by_hash, return_inverse=True)
+    mark = np.zeros(len(names), bool)
     index: dict[int, list[int]] = defaultdict(list)
     links = []
 
-    def verify(x: int, y: int) -> None:
-        if cross and blocks[x] == blocks[y] or root(x) == root(y):
-            return
-        a, b = s.of(x), s.of(y)
-        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-        common_n = int((b[at] == a).sum())
-        if 100 * common_n >= PERCENT * (len(a) + len(b) - common_n):
-            up[root(x)] = root(y)
-            links.append((ids[x], ids[y]))
+    def verify(x: int, others: np.ndarray) -> None:
+        if cross:
+            others = others[block[others] != block[x]]
+        own = token[s.start[x] : s.start[x] + s.n[x]]
+        mark[own] = True
+        for at in range(0, len(others), 256):
+            y = others[at : at + 256]
+            n = s.n[y]
+            places = np.repeat(s.start[y] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            shared = np.add.reduceat(mark[token[places]], np.cumsum(n) - n, dtype=np.int64)
+            found = y[100 * shared >= PERCENT * (n + s.n[x] - shared)]
+            count[x] += weight[found].sum()
+            count[found] += weight[x]
+            for o in found.tolist():
+                if root(x) != root(o):
+                    up[root(x)] = root(o)
+                    links.append((ids[x], ids[o]))
+        mark[own] = False
 
     for g, own in enumerate(members):
         tokens = s.prefix(own[0]).tolist()
         found = [index[t] for t in tokens if t in index]
+        near = []
         if found:
             other, shared = np.unique(np.concatenate(found), return_counts=True)
             need = -(-PERCENT * (n_of[g] + n_of[other]) // (100 + PERCENT))
             rest = np.maximum(n_of[g] - p_of[g], n_of[other] - p_of[other])
             ok = (100 * n_of[other] >= PERCENT * n_of[g]) & (shared + rest >= need)
-            for o in other[ok][np.argsort(-shared[ok], kind="stable")].tolist():
-                for x in own:
-                    for y in members[o]:
-                        verify(x, y)
-        for k, x in enumerate(own):
-            for y in own[:k]:
-                verify(x, y)
+            near = [members[o] for o in other[ok].tolist()]
+        for k, x in enumerate(own.tolist()):
+            if len(others := np.concatenate([*near, own[:k]])):
+                verify(x, others)
         for t in tokens:
             index[t].append(g)
-    return links
-
-
-def _bitmap(ids: DataFrame, bits: int = 22) -> np.ndarray:
-    """A fixed-size table of which ids' hashes occur."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            seen[(common.mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)] = 1
-        yield common.table_rows({"seen": seen}, 1 << 14)
-
-    got = common.summed_tables(ids.mapInArrow(count, common.TABLE_SCHEMA), 1 << bits, 1 << 14)
-    return got.get("seen", np.zeros(1 << bits, np.int64)) > 0
+    return links, count
 
 
 def verified_links(docs: DataFrame, tasks: DataFrame, level) -> DataFrame:
-    """Links (a, b) from tasks (doc_id, k1, cluster, block, i, j): the documents of a task are loaded together."""
+    """Links (a, b) and, with a null b, numbers of links of a from tasks (doc_id, k1, copies, cluster, block, i, j): the documents of a task are loaded together."""
     spark = docs.sparkSession
-    bits = 22
-    wanted = spark.sparkContext.broadcast(_bitmap(tasks.select("doc_id"), bits))
+    wanted = spark.sparkContext.broadcast(common.bitmap(tasks.select("doc_id")))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = (common.mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-            yield batch.filter(pa.array(wanted.value[at]))
+            yield batch.filter(pa.array(wanted.value.has(batch.column(0))))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, str]] = []
+        held: list[tuple[int, int, int, int, str]] = []
         key = None
         for batch in batches:
-            for *k, doc, k1, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *k, doc, k1, copies, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key and held:
                     yield links(held)
                     held = []
                 key = k
-                held.append((doc, k1, b, text))
+                held.append((doc, k1, copies, b, text))
         if held:
             yield links(held)
 
-    def links(held: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
-        s = Sets([h[3] for h in held], level.value)
+    def links(held: list[tuple[int, int, int, int, str]]) -> pa.RecordBatch:
+        s = Sets([h[4] for h in held], level.value)
         own = {(h[0], h[1]): i for i, h in enumerate(held) if s.k1[i].view(np.int64) == h[1]}  # other texts under the same id fall out
         if len(own) < len(held):
             held = [held[i] for i in sorted(own.values())]
-            s = Sets([h[3] for h in held], level.value)
-        found = link_members([h[0] for h in held], [h[2] for h in held], s)
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+            s = Sets([h[4] for h in held], level.value)
+        found, count = link_members([h[0] for h in held], [h[3] for h in held], [h[2] for h in held], s)
+        has = np.flatnonzero(count)
+        a = [x[0] for x in found] + [held[i][0] for i in has]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int64()), pa.array([x[1] for x in found] + [None] * len(has), pa.int64()), pa.array([0] * len(found) + [held[i][1] for i in has], pa.int64()), pa.array([0] * len(found) + count[has].tolist(), pa.int64())],
+            names=["a", "b", "k1", "n_links"],
+        )
 
     texts = docs.select("doc_id", "text").mapInArrow(some, "doc_id long, text string")
     loaded = texts.join(tasks, "doc_id").repartition(common.shuffle_width(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
-    return loaded.select("cluster", "i", "j", "doc_id", "k1", "block", "text").mapInArrow(solve, "a long, b long")
+    return loaded.select("cluster", "i", "j", "doc_id", "k1", "copies", "block", "text").mapInArrow(solve, "a long, b long, k1 long, n_links long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+    """doc_id, n_shingles, component_id and n_links of every row."""
     spark = docs.sparkSession
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     level = spark.sparkContext.broadcast(order_levels(every))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
         for batch in batches:
             for start, run in common.chunks(batch.column(1).to_pylist()):
                 s = Sets(run, level.value)
+                ids = batch.column(0).slice(start, len(run))
+                prefix: list[bytes | None] = [None] * len(run)  # once a task for each group
+                for i in np.flatnonzero((s.n > 0) & ~ids.is_null().to_numpy(zero_copy_only=False)).tolist():
+                    if (g := int(s.gid[i])) not in told:
+                        told.add(g)
+                        prefix[i] = s.prefix(i).astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(run)), pa.array(s.n.astype(np.int64)), pa.array(s.k1.view(np.int64)), pa.array(s.k2.view(np.int64)), pa.array(s.gid)],
-                    names=["doc_id", "n", "k1", "k2", "gid"],
+                    [ids, pa.array(s.n.astype(np.int64)), pa.array(s.k1.view(np.int64)), pa.array(s.k2.view(np.int64)), pa.array(s.gid), pa.array(prefix, pa.binary())],
+                    names=["doc_id", "n", "k1", "k2", "gid", "prefix"],
                 )
 
-    sets = common.cut(every.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, gid long"))
+    sets = common.cut(every.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, gid long, prefix binary"))
     known = every.where("doc_id IS NOT NULL")
-    classes = common.cut(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("gid").alias("gid")))
-    near = clusters(known, level, salt_rows).select(F.col("node").alias("gid"), F.col("component").alias("near"))
-    placed = classes.join(near, "gid", "left").select("rep", "k1", "n", F.coalesce("near", "gid").alias("cluster"))
+    classes = common.cut(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("gid").alias("gid"), F.count("*").alias("copies")))
+    near = clusters(sets, level, salt_rows).select(F.col("node").alias("gid"), F.col("component").alias("near"))
+    placed = classes.join(near, "gid", "left").select("rep", "k1", "n", "copies", F.coalesce("near", "gid").alias("cluster"), F.pmod(F.xxhash64("rep"), F.lit(SPREAD)).alias("spread"))
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("all")).where("size > 1")
-    sizes = sizes.select("cluster", F.ceil(F.greatest(F.col("size") / block, F.col("all") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    member = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    sizes = sizes.select("cluster", F.ceil(F.greatest(F.col("size") / block, F.col("all") / BLOCK_SHINGLES)).cast("long").alias("blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("spread"))
+    member = placed.join(sizes, ["cluster", "spread"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tasks = common.cut(member.select(F.col("rep").alias("doc_id"), "k1", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    links = common.cut(verified_links(known, tasks, level))
-    reached = graph.components(links).select(F.col("node").alias("rep"), "component")
-    final = classes.join(reached, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
-    linked = sets.where("n > 0 AND doc_id IS NOT NULL").join(final, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = sets.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    tasks = common.cut(member.select(F.col("rep").alias("doc_id"), "k1", "copies", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    found = common.cut(verified_links(known, tasks, level))
+    reached = graph.components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("rep"), "component")
+    linked_to = found.where("b IS NULL").groupBy(F.col("a").alias("rep"), "k1").agg(F.sum("n_links").alias("others"))
+    final = classes.join(reached, "rep", "left").join(linked_to, ["rep", "k1"], "left")
+    final = final.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    linked = sets.where("n > 0 AND doc_id IS NOT NULL").join(final, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    alone = sets.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
 
 
@@ -353,6 +368,6 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 link AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.m, d.doc_id)) AS component_id
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = d.doc_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.m, d.doc_id)) AS component_id, coalesce(l.n, 0) AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = d.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = d.doc_id
 """

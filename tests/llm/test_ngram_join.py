@@ -1,9 +1,10 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lexweave.llm import graph
+from lexweave.llm import common, graph
 from lexweave.llm import ngram_join as nj
 from tests.llm.odd import docs, none, rows
 
@@ -16,7 +17,7 @@ def shingles(text):
 
 
 def brute(data):
-    """(doc_id, n_shingles, component_id) by comparing all pairs."""
+    """(doc_id, n_shingles, component_id, n_links) by comparing all pairs."""
     sets = [(i, shingles(t)) for i, t in data]
     up = {i: i for i, _ in sets if i is not None}
 
@@ -25,12 +26,15 @@ def brute(data):
             x = up[x]
         return x
 
+    links = [0] * len(sets)
     for k, (i, a) in enumerate(sets):
-        for j, b in sets[:k]:
+        for m, (j, b) in enumerate(sets[:k]):
             if a and b and i is not None and j is not None and 100 * len(a & b) >= 75 * len(a | b):
                 x, y = sorted((root(i), root(j)))
                 up[y] = x
-    return sorted(((i, len(s), None if i is None else root(i)) for i, s in sets), key=str)
+                links[k] += 1
+                links[m] += 1
+    return sorted(((i, len(s), None if i is None else root(i), n) for (i, s), n in zip(sets, links, strict=True)), key=str)
 
 
 def corpus(seed, n=150):
@@ -65,7 +69,7 @@ def test_odd_rows(spark):
 def test_pipeline_stage_keeps_one_of_each_group(spark):
     data = corpus(6, 60)
     kept = {r["doc_id"] for r in nj.keep_first(spark, spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, lang string"), "").collect()}
-    assert kept == {i for i, _, c in brute(data) if i == c}
+    assert kept == {i for i, _, c, _ in brute(data) if i == c}
     assert nj.keep_first(spark, none(spark), "").columns == docs(spark).columns
 
 
@@ -93,3 +97,40 @@ def test_components(spark):
     want = {(x, root(x)) for a, b in pairs if a != b for x in (a, b)}
     assert {tuple(r) for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == want
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_large_cluster(spark):
+    """Near copies of one text: shuffled members grow with the blocks, and each block pair is a task."""
+    rng = np.random.default_rng(5)
+    words = rng.choice([f"w{i}" for i in range(5000)], 120).tolist()
+    data = []
+    for i in range(1500):
+        t = list(words)
+        t[int(rng.integers(len(t)))] = f"x{rng.integers(700)}"
+        data.append((i, " ".join(t)))
+    sets = [shingles(t) for _, t in data]
+    names = {h: k for k, h in enumerate(sorted({x for s in sets for x in s}))}
+    m = np.zeros((len(sets), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [names[h] for h in s]] = 1
+    both, n = m @ m.T, m.sum(1)
+    linked = 100 * both >= 75 * (n[:, None] + n - both)
+    got = {r["doc_id"]: r for r in nj.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), block=400).collect()}
+    assert [got[i]["n_links"] for i in range(len(sets))] == (linked.sum(1) - 1).tolist()
+    assert {r["component_id"] for r in got.values()} == {0}
+
+
+def test_bitmap_has_no_false_negative(spark):
+    ids = spark.range(0, 3_000_000_000, 1_000_003)
+    for bits in (None, 12, 20):
+        table = common.bitmap(ids, bits)
+        assert table.has(pa.array(np.arange(0, 3_000_000_000, 1_000_003))).all() and len(table.data) == 1 << table.bits - 3
+    assert table.has(pa.array(np.arange(7, 3_000_000_000, 1_000_003))).mean() < 0.01
+    assert not common.bitmap(ids.where("id < 0")).data.any()
+
+
+def test_usual_counters_are_not_salted():
+    level = np.full(1 << 10, 80, np.uint8)  # about a million each
+    level[7] = 120
+    got = nj.salts(level, 1 << 16)
+    assert got[7] == nj.MOST_SALTS and (np.delete(got, 7) == 1).all()
