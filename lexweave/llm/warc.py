@@ -12,12 +12,16 @@ Writing builds one record a row as a string and lets Spark's text writer put
 the record separator, CRLF CRLF, between them, so archives can go to any file
 system that Spark writes to, task by task with Spark's commit protocol.
 Of records with equal payloads of at least ``revisit_bytes``, the one
-with the largest key is a response and the others are revisits of it.
+with the largest key is a response and the others are revisits of it. Which
+ones are equal is found from keys and digests alone. Rows whose digest surely
+stands alone are written where they are read; only the others meet their
+group, and of these surely none but the responses take their payload along
+(two bitmaps of bounded size say so; they never miss a row).
 
 Defined results: a null payload is empty; null target URIs and keys leave their header out
 and come back null; equal payloads under one and the same largest key are all responses, as are
 those whose keys are all null; control characters in a header value are percent-encoded; a missing length, a
-cut-off record or a digest that doesn't fit raises ValueError; an empty table gives an archive without
+cut-off record, a missing type, an HTTP block without an empty line or a digest that doesn't fit raises ValueError, whatever is read of the record; an empty table gives an archive without
 records. Other input columns are ignored.
 """
 
@@ -32,8 +36,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringContains, StringEndsWith, StringStartsWith
 
@@ -60,10 +65,6 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _safe(value: str) -> str:
-    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
-
-
 @dataclass
 class Files(InputPartition):
     paths: list[str]
@@ -123,11 +124,13 @@ class WarcReader(DataSourceReader):
     def _records(self, fs: pafs.FileSystem, path: str) -> Iterator[tuple]:
         packed = path.endswith(".gz")
         with fs.open_input_file(path) as raw, gzip.GzipFile(fileobj=raw) if packed else raw as f:
-            head = _Buffered(f)
+            head = _Buffered(f, None if packed else raw.size())
             while (record := head.headers()) is not None:
                 at, headers = record
                 if "content-length" not in headers:
                     raise ValueError(f"{path}: a record at {at} has no length")
+                if "warc-type" not in headers:
+                    raise ValueError(f"{path}: a record at {at} has no type")
                 length = int(headers["content-length"])
                 if not all(TESTS[type(x)](x, headers.get(HEADER_OF[x.attribute[0]])) for x in self.filters):
                     head.skip(length)
@@ -137,7 +140,7 @@ class WarcReader(DataSourceReader):
                 full = headers["warc-type"] == "response"
                 if self.payload or (self.verify and full):
                     block = head.take(length)
-                    payload = block.partition(b"\r\n\r\n")[2] if http else block
+                    payload = _payload(block) if http else block
                     body = len(payload)
                 elif http:
                     body -= head.http(length)
@@ -152,14 +155,27 @@ class WarcReader(DataSourceReader):
                 )
 
 
+def _payload(block: bytes) -> bytes:
+    head, empty, payload = block.partition(b"\r\n\r\n")
+    if not empty:
+        raise ValueError("an HTTP block has no empty line")
+    return payload
+
+
 class _Buffered:
-    """A forward reader that knows where records begin."""
+    """A forward reader that knows where records begin; ``size`` of the file where it can be sought in."""
 
-    def __init__(self, f):
-        self.f, self.buf, self.at, self.base = f, b"", 0, 0
+    def __init__(self, f, size: int | None = None):
+        self.f, self.size, self.buf, self.at, self.base = f, size, b"", 0, 0
+
+    def _read(self, n: int) -> bytes:
+        try:
+            return self.f.read(n)
+        except EOFError as e:
+            raise ValueError("a record is cut off") from e
 
     def _more(self) -> bool:
-        got = self.f.read(1 << 18)
+        got = self._read(1 << 18)
         self.buf, self.base, self.at = self.buf[self.at :] + got, self.base + self.at, 0
         return bool(got)
 
@@ -191,7 +207,7 @@ class _Buffered:
         left = n - len(parts[0])
         if left:
             self.base, self.buf, self.at = self.base + self.at + left, b"", 0
-            parts.append(self.f.read(left))
+            parts.append(self._read(left))
             if len(parts[-1]) < left:
                 raise ValueError("a record is cut off")
         return b"".join(parts)
@@ -199,19 +215,30 @@ class _Buffered:
     def skip(self, n: int) -> None:
         here = min(n, len(self.buf) - self.at)
         self.at += here
-        if n > here:
-            self.base, self.buf, self.at = self.base + self.at + n - here, b"", 0
-            if self.f.seekable():
-                self.f.seek(n - here, 1)
-            else:
-                self.f.read(n - here)
+        left = n - here
+        if not left:
+            return
+        self.base, self.buf, self.at = self.base + self.at + left, b"", 0
+        if self.size is not None:
+            if self.base > self.size:
+                raise ValueError("a record is cut off")
+            self.f.seek(left, 1)
+            return
+        while left:
+            got = len(self._read(min(left, 1 << 20)))
+            if not got:
+                raise ValueError("a record is cut off")
+            left -= got
 
     def http(self, n: int) -> int:
         """Skip a block of n bytes that begins with an HTTP head; the head's length."""
-        before = self.base + self.at
-        self._until(b"\r\n\r\n")
-        head = self.base + self.at - before
-        self.skip(n - head)
+        while (end := self.buf.find(b"\r\n\r\n", self.at, self.at + n)) < 0:
+            if len(self.buf) - self.at >= n:
+                raise ValueError("an HTTP block has no empty line")
+            if not self._more():
+                raise ValueError("a record is cut off")
+        head = end + 4 - self.at
+        self.skip(n)
         return head
 
 
@@ -248,45 +275,94 @@ def read_warc(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("warc").options(**options).load(path)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = [(t.as_py() or "").encode("utf-8", "replace") for t in batch.column("payload")]
-        yield batch.append_column("digest", pa.array([digest_of(p) for p in payloads], pa.string())).append_column("size", pa.array([len(p) for p in payloads], pa.int64()))
+def base32_sha1(payload: Column) -> Column:
+    """The bare base32 SHA-1 of a string's UTF-8: twenty bits, five hexadecimal digits, at a time."""
+    digest = F.sha1(payload.cast("binary"))
+    parts = [F.lpad(F.conv(F.substring(digest, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def _safe(value: Column) -> Column:
+    """Control characters percent-encoded."""
+    out = value
+    for c in [*range(32), 127]:
+        out = F.replace(out, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    return F.when(value.rlike(r"[\x00-\x1f\x7f]"), out).otherwise(value)
+
+
+def _record(date: str) -> Column:
+    """The text of a record from key, uri, payload, digest, size and origin (null for responses)."""
+    origin, key = F.col("origin"), F.col("key").cast("string")
+    full = origin.isNull()
+    block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(SEPARATOR))
+    lines = [
+        F.lit("WARC/1.1"),
+        F.when(full, F.lit("WARC-Type: response")).otherwise(F.lit("WARC-Type: revisit")),
+        F.coalesce(F.concat(F.lit("WARC-Record-ID: <urn:row:"), key, F.lit(">")), F.concat(F.lit("WARC-Record-ID: <urn:digest:"), F.col("digest"), F.lit(">"))),
+        F.lit(f"WARC-Date: {date}"),
+        F.concat(F.lit("WARC-Target-URI: "), _safe(F.col("uri"))),
+        F.concat(F.lit(f"{KEY}: "), key),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
+        F.concat(F.lit(f"{LENGTH}: "), F.col("size").cast("string")),
+        F.lit("Content-Type: application/http; msgtype=response"),
+        F.when(~full, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+        F.concat(F.lit("WARC-Refers-To: <urn:row:"), origin.cast("string"), F.lit(">")),
+        F.concat(F.lit("Content-Length: "), (F.octet_length(block) + F.when(full, F.col("size")).otherwise(F.lit(0))).cast("string")),
+    ]
+    return F.concat(F.concat_ws("\r\n", *lines), F.lit(SEPARATOR), block, F.when(full, F.col("payload")).otherwise(F.lit("")))
 
 
 def write_warc(rows: DataFrame, path: str, key_col: str, uri_col: str, payload_col: str, revisit_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", compression: str = "none") -> None:
     """One response or revisit record for each row."""
-    plain = rows.select(F.col(key_col).cast("long").alias("key"), F.col(uri_col).cast("string").alias("uri"), F.col(payload_col).cast("string").alias("payload"))
-    hashed = plain.mapInArrow(_digests, "key long, uri string, payload string, digest string, size long")
-    repeated = hashed.where(F.col("size") >= revisit_bytes).groupBy(F.col("digest").alias("same")).agg(F.max("key").alias("top"), F.count("*").alias("n")).where("n > 1").select("same", "top")
-    typed = hashed.join(repeated, F.col("digest") == F.col("same"), "left").select("key", "uri", "payload", "digest", "size", F.when(F.col("key").eqNullSafe(F.col("top")), None).otherwise(F.col("top")).alias("origin"))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = rows.sparkSession
+    plain = rows.select(F.col(key_col).cast("long").alias("key"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
+    hashed = plain.select("key", "uri", "payload", base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("size"))
+    light = common.cut(hashed.select("key", "digest", "size", F.xxhash64("digest").alias("same"), F.xxhash64("digest", "key").alias("own")))
+    groups = light.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.max("key").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top", F.lit(True).alias("repeated"))
+    repeated = common.cut(groups)
+    shared = spark.sparkContext.broadcast(common.bitmap(repeated.select(F.xxhash64("digest"))))
+    origin = F.when(F.col("key").eqNullSafe(F.col("top")), None).otherwise(F.col("top")).alias("origin")
+
+    def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, uri, payload, digest, size, origin in zip(*batch.columns, strict=True):
-                key, uri, digest, size, origin = key.as_py(), uri.as_py(), digest.as_py(), size.as_py(), origin.as_py()
-                head = ["WARC/1.1", f"WARC-Type: {'response' if origin is None else 'revisit'}", f"WARC-Record-ID: <urn:row:{key}>" if key is not None else f"WARC-Record-ID: <urn:digest:{digest}>", f"WARC-Date: {date}"]
-                head += ([] if uri is None else [f"WARC-Target-URI: {_safe(uri)}"]) + ([] if key is None else [f"{KEY}: {key}"])
-                head += [f"WARC-Payload-Digest: sha1:{digest}", f"{LENGTH}: {size}", "Content-Type: application/http; msgtype=response"]
-                if origin is not None:
-                    head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:row:{origin}>"]
-                block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}{SEPARATOR}"
-                length = len(block) + (size if origin is None else 0)
-                out.append("\r\n".join([*head, f"Content-Length: {length}"]) + SEPARATOR + block + ((payload.as_py() or "") if origin is None else ""))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-    typed.mapInArrow(build, "value string").write.option("lineSep", SEPARATOR).option("compression", compression).text(path)
+            yield batch.filter(pa.array(shared.value.has(batch.column(2))))
+
+    maybe = light.select("key", "digest", "same", "own").mapInArrow(among, "key long, digest string, same long, own long")
+    first = maybe.join(repeated, "digest", "left").select("own", origin).where("origin IS NULL").select("own")
+    keepers = spark.sparkContext.broadcast(common.bitmap(common.cut(first)))
+
+    def parted(crowded: bool) -> DataFrame:
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in (batch.slice(at, 256) for batch in batches for at in range(0, len(batch), 256)):
+                out = part.filter(pa.array(shared.value.has(part.column("same")) == crowded))
+                if crowded and len(out):
+                    kept = pc.if_else(pa.array(keepers.value.has(out.column("own"))), out.column("payload"), pa.scalar(None, pa.string()))
+                    out = out.set_column(out.schema.get_field_index("payload"), "payload", kept)
+                if len(out):
+                    yield out.select(["key", "uri", "payload", "digest", "size"])
+
+        named = hashed.select("*", F.xxhash64("digest").alias("same"), F.xxhash64("digest", "key").alias("own"))
+        return named.mapInArrow(pick, "key long, uri string, payload string, digest string, size long")
+
+    alone = parted(False).withColumn("origin", F.lit(None).cast("long"))
+    grouped = parted(True).join(repeated, "digest", "left").select("key", "uri", "payload", "digest", "size", origin)
+    records = alone.unionByName(grouped).select(_record(date).alias("value"))
+    records.write.option("lineSep", SEPARATOR).option("compression", compression).text(path)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are read with their payloads, which are held against their digests; revisits by their headers alone."""
     path = f"{common.shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_warc(common.table(spark, sf_dir, "pages"), path, "page_id", "url", "html", compression="gzip")
-    got = read_warc(spark, path, payload="false", verify="true")
-    return got.select(
+    full = read_warc(spark, path, payload="false", verify="true").where("record_type = 'response'")
+    again = read_warc(spark, path, payload="false").where("record_type = 'revisit'")
+    got = full.unionByName(again).select(
         F.col("headers")[KEY.lower()].cast("long").alias("page_id"),
         F.col("payload_length").alias("payload_bytes"),
         F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
         "record_type",
         F.when(F.col("refers_to") != "", F.regexp_extract("refers_to", r"<urn:row:(-?\d+)>", 1)).cast("long").alias("refers_to"),
     )
+    kept = common.cut(got)
+    common.delete(spark, path)
+    return kept

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -65,18 +66,78 @@ def test_small_payloads_are_all_responses(spark, tmp_path):
     assert kinds["4"] == kinds["5"] == "response" and kinds["1"] == "revisit"
 
 
-def test_bad_archives(spark, tmp_path):
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("options", [{"verify": "true"}, {"payload": "false"}, {"payload": "true"}, {"payload": "false", "skip": "all"}])
+def test_bad_archives(tmp_path, packed, options):
+    whole = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: 600007\r\n\r\nHTTP\r\n\r\n" + b"x" * 599_999 + b"\r\n\r\n"
+    bad = {
+        "cut off": (whole[:-6], whole[:300], whole[:-200_000]),
+        "no length": (whole.replace(b"Content-Length: 600007\r\n", b""),),
+        "no type": (whole.replace(b"WARC-Type: response\r\n", b""),),
+        "no WARC": (b"hello\r\n\r\n", whole + b"hello\r\n\r\n"),
+        "no empty line": (whole.replace(b"HTTP\r\n\r\n", b"HTTP----") + whole,),
+    }
+    for match, datas in bad.items():
+        if match == "no empty line" and "skip" in options:
+            continue  # a block that is passed over isn't looked into
+        for data in datas:
+            path = tmp_path / ("a.warc.gz" if packed else "a.warc")
+            path.write_bytes(gzip.compress(data) if packed else data)
+            reader = warc.WarcReader({"path": str(path), **options})
+            if "skip" in options:
+                list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit")]))
+            with pytest.raises(ValueError, match=match):
+                [list(reader.read(p)) for p in reader.partitions()]
+
+
+def test_bad_digest_length_and_stream(tmp_path):
     whole = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:WRONG\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    for name, data, match in (("digest", whole, "digest"), ("cut", whole[:-6], "cut off"), ("length", whole.replace(b"Content-Length: 3\r\n", b""), "length"), ("junk", b"hello\r\n\r\n", "no WARC")):
-        path = tmp_path / f"{name}.warc"
-        path.write_bytes(data)
-        reader = warc.WarcReader({"path": str(path), "verify": "true"})
+    for name, data, match in (("digest", whole, "digest"), ("number", whole.replace(b"3", b"x"), "invalid literal")):
+        (tmp_path / name).write_bytes(data)
+        reader = warc.WarcReader({"path": str(tmp_path / name), "verify": "true"})
         with pytest.raises(ValueError, match=match):
             [list(reader.read(p)) for p in reader.partitions()]
+    (tmp_path / "half.gz").write_bytes(gzip.compress(whole)[:-12])
+    with pytest.raises(ValueError, match="cut off"):
+        reader = warc.WarcReader({"path": str(tmp_path / "half.gz"), "payload": "false"})
+        [list(reader.read(p)) for p in reader.partitions()]
     with pytest.raises(FileNotFoundError):
         warc.WarcReader({"path": str(tmp_path / "nowhere")}).partitions()
 
 
+def test_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    pages = [(i, f"http://h/{i}", rng.choice(["", None, "<p>hot</p>", "ä" * 50, f"<p>{rng.randrange(40)}</p>", f"own {i}"])) for i in rng.sample(range(-500, 5000), 400)] + [(None, None, "<p>hot</p>"), (4999999, "u", "<p>hot</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5).write.parquet(str(tmp_path / "pages.parquet"))
+    top = {}
+    for i, _, t in pages:
+        if i is not None:
+            top[t or ""] = max(top.get(t or "", i), i)
+    want = []
+    for i, _, t in pages:
+        data = (t or "").encode()
+        first = i == top[t or ""]
+        want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first else "revisit", None if first else top[t or ""]))
+    got = warc.op5_warc(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+
+def test_query_takes_no_block_of_a_revisit(archive):
+    sizes = {}
+    for kind, options in (("response", {"payload": "false", "verify": "true"}), ("revisit", {"payload": "false"})):
+        seen, original = [], warc._Buffered.take
+        warc._Buffered.take = lambda self, n, seen=seen: (seen.append(n), original(self, n))[1]
+        try:
+            reader = warc.WarcReader({"path": archive, **options})
+            assert not list(reader.pushFilters([warc.EqualTo(("record_type",), kind)]))
+            rows = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+        finally:
+            warc._Buffered.take = original
+        sizes[kind] = rows, len(seen)
+    assert sizes == {"response": (5, 5), "revisit": (3, 0)}
+
+
 def test_members_and_folded_headers(tmp_path):
     one = b"WARC/1.0\r\nWARC-Type: resource\r\nX-Long: a\r\n  b\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     (tmp_path / "m.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(one))
