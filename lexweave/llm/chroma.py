@@ -10,9 +10,11 @@ Two recordings are aligned by the offset at which most of their equal
 integers meet; the overlap at this offset is then compared bit by bit, and a share of
 unequal bits of at most ``most_errors`` is a match.
 
-Search: recordings with equal fingerprints are one class; the classes of the
-query rows are held in blocks of at most BLOCK_FRAMES integers, each block is
-broadcast and meets every class of recordings once. ``matches`` gives every pair of a query's
+Search: recordings with equal fingerprints are one class. The integers of the
+query classes meet equal integers of all classes in a join (integers that no
+query has are left out before it by a bitmap, and frequent ones are dealt to several
+parts), votes are counted by pair and offset, and the best offset of every pair
+is verified on both fingerprints. ``matches`` gives every pair of a query's
 class and a class that aligns with it, its own included, and ``members`` the class of every recording; both together
 are every pair of aligning recordings, and copies don't multiply rows. ``search`` is a
 report from them: the ``k`` best matches a query and the number of all.
@@ -43,10 +45,16 @@ RATE = 4000
 FRAME = 512
 HOP = 256
 WIDE = 8
-BLOCK_FRAMES = 1 << 18
-#: About so many matches are held before they are passed on.
-MOST_ROWS = 1 << 14
+#: Samples decoded at a time (or one longer recording), frames transformed and fingerprints looked at at a time.
+SAMPLES = 1 << 21
+RECORDINGS = 256
+FRAMES = 2048
+#: Counters of how frequent integers are, and rows of an integer above which it is dealt to several parts.
+COUNTER_BITS = 16
+SALT_ROWS = 1 << 16
+MOST_SALTS = 256
 MATCHES = "query_class long, class long, offset long, errors double"
+POSTINGS = "value int, salt int, name long, frame int, size int"
 Decoder = Callable[[object], np.ndarray]
 
 
@@ -77,52 +85,60 @@ FILTERS = _filters()
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
-def _fold() -> np.ndarray:
-    """Spectrum bins to pitch classes."""
+def _bins() -> list[np.ndarray]:
+    """The spectrum bins of each pitch class."""
     f = np.fft.rfftfreq(FRAME, 1 / RATE)
-    out = np.zeros((len(f), 12), np.float32)
     heard = np.flatnonzero((f > 100) & (f < 1900))
-    out[heard, np.round(12 * np.log2(f[heard] / 440)).astype(int) % 12] = 1
-    return out
+    pitch = np.round(12 * np.log2(f[heard] / 440)).astype(int) % 12
+    return [heard[pitch == k] for k in range(12)]
 
 
-FOLD = _fold()
+BINS = _bins()
 WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
-def pitch_classes(samples: np.ndarray) -> np.ndarray:
-    """(frames, 12), each frame of sum one, or zero in silence."""
-    if not len(samples):
-        return np.zeros((0, 12), np.float32)
-    n = max(1, -(-(len(samples) - FRAME) // HOP) + 1)
-    padded = np.zeros((n - 1) * HOP + FRAME, np.float32)
-    padded[: len(samples)] = samples
-    frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
-    out = np.empty((n, 12), np.float32)
-    for at in range(0, n, 2048):
-        spectrum = np.fft.rfft(frames[at : at + 2048] * WINDOW)
-        out[at : at + 2048] = (spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ FOLD
+def pitch_classes(recordings: list[np.ndarray]) -> list[np.ndarray]:
+    """(frames, 12) of each recording, each frame of sum one, or zero in silence."""
+    n = [max(1, -(-(len(r) - FRAME) // HOP) + 1) if len(r) else 0 for r in recordings]
+    room = [(k - 1) * HOP + FRAME if k else 0 for k in n]
+    padded = np.zeros(max(FRAME, sum(room)), np.float32)
+    base = np.cumsum([0, *room])
+    for r, at in zip(recordings, base, strict=False):
+        padded[at : at + len(r)] = r
+    first = np.concatenate([np.arange(k) * HOP + at for k, at in zip(n, base, strict=False)]) if n else np.zeros(0, int)
+    windows = np.lib.stride_tricks.sliding_window_view(padded, FRAME)
+    out = np.empty((len(first), 12), np.float32)
+    for at in range(0, len(first), FRAMES):
+        spectrum = np.fft.rfft(windows[first[at : at + FRAMES]] * WINDOW)
+        power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
+        for k in range(12):
+            out[at : at + FRAMES, k] = power[:, BINS[k]].sum(1)
     total = out.sum(1, keepdims=True)
-    return np.where(total > 1e-9, out / np.maximum(total, 1e-9), 0)
-
-
-def packed(classes: np.ndarray) -> np.ndarray:
-    """The integers of a recording, one for each frame at which all filters have room."""
-    if not len(classes):
-        return np.zeros(0, np.uint32)
-    if len(classes) < WIDE:
-        classes = np.concatenate([classes, np.zeros((WIDE - len(classes), 12), classes.dtype)])
-    image = np.zeros((len(classes) + 1, 13))
-    image[1:, 1:] = classes.cumsum(0, dtype=float).cumsum(1)
-    n = len(classes) - WIDE + 1
-    out = np.zeros(n, np.uint32)
+    out = np.where(total > 1e-9, out / np.maximum(total, 1e-9), 0)
+    return np.split(out, np.cumsum(n)[:-1]) if n else []
+
+
+def packed(recordings: list[np.ndarray]) -> list[np.ndarray]:
+    """The integers of each recording's pitch classes, one for each frame at which all filters have room."""
+    frames = [max(len(c), WIDE) if len(c) else 0 for c in recordings]
+    base = np.cumsum([0, *(n + 1 for n in frames)])
+    image = np.zeros((int(base[-1]) + WIDE, 13))  # an integral image for each recording, one below the other
+    for classes, n, at in zip(recordings, frames, base, strict=False):
+        if n:
+            total = classes.cumsum(0, dtype=float).cumsum(1)
+            image[at + 1 : at + 1 + len(total), 1:] = total
+            image[at + 1 + len(total) : at + 1 + n, 1:] = total[-1]
+    rows = int(base[-1])
+    place = np.concatenate([np.arange(at, at + n - WIDE + 1) for n, at in zip(frames, base, strict=False) if n]) if any(frames) else np.zeros(0, int)
+    out = np.zeros(len(place), np.uint32)
     for boxes in FILTERS:
-        area = [np.zeros(n), np.zeros(n)]
+        area = [np.zeros(rows), np.zeros(rows)]
         for sign, t, w, y, h in boxes:
-            area[sign < 0] += image[t + w : t + w + n, y + h] - image[t : t + n, y + h] - image[t + w : t + w + n, y] + image[t : t + n, y]
-        r = np.log((area[0] + 0.05) / (area[1] + 0.05)).round(6)  # equal areas fall on a threshold whatever was summed before
-        out = out << np.uint32(2) | GRAY[np.searchsorted([-0.6, 0.0, 0.6], r)]
-    return out
+            area[sign < 0] += image[t + w : t + w + rows, y + h] - image[t : t + rows, y + h] - image[t + w : t + w + rows, y] + image[t : t + rows, y]
+        r = np.log((area[0][place] + 0.05) / (area[1][place] + 0.05)).round(6)  # equal areas fall on a threshold whatever was summed before
+        out = out << np.uint32(2) | GRAY[(r > -0.6).astype(np.int8) + (r > 0) + (r > 0.6)]
+    size = [n - WIDE + 1 if n else 0 for n in frames]
+    return np.split(out, np.cumsum(size)[:-1]) if size else []
 
 
 def pcm16(value: object) -> np.ndarray:
@@ -146,10 +162,15 @@ def fingerprints(rows: DataFrame, key_cols: list[str], media_col: str, decoder:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                fps = [packed(pitch_classes(decoder(v.as_py()))).astype("<u4").tobytes() for v in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary())], names=["key", "fp"])
+            heard: list[np.ndarray] = []
+            size = 0
+            for i, value in enumerate(batch.column(1)):
+                heard.append(decoder(value.as_py()))
+                size += len(heard[-1])
+                if size >= SAMPLES or i + 1 == len(batch):
+                    fps = [fp.astype("<u4").tobytes() for fp in packed(pitch_classes(heard))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + 1 - len(heard), len(heard)), pa.array(fps, pa.binary())], names=["key", "fp"])
+                    heard, size = [], 0
 
     key = F.struct(*(F.col(c).cast("long").alias(c) for c in key_cols))
     kind = "struct<" + ",".join(f"{c}:bigint" for c in key_cols) + ">"
@@ -164,67 +185,108 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return hi - lo, float(np.bitwise_count(a[lo:hi] ^ b[lo + offset : hi + offset]).sum() / (32 * (hi - lo)))
 
 
-class Block:
-    """Some queries' integers, ordered, with the query and frame each is from."""
-
-    def __init__(self, fps: list[bytes], first: int):
-        self.first = first
-        self.fps = [np.frombuffer(f, "<u4") for f in fps]
-        size = [len(f) for f in self.fps]
-        value = np.concatenate(self.fps) if size else np.zeros(0, np.uint32)
-        query = np.repeat(np.arange(len(size)), size)
-        frame = np.concatenate([np.arange(n) for n in size]) if size else query
-        order = np.argsort(value, kind="stable")
-        self.value, self.query, self.frame = value[order], query[order], frame[order]
-
-    def matches(self, fp: np.ndarray, votes: int, most_errors: float) -> list[tuple[int, int, float]]:
-        """(query, offset, errors) of each query that this recording aligns with."""
-        lo, hi = np.searchsorted(self.value, fp, "left"), np.searchsorted(self.value, fp, "right")
-        n = hi - lo
-        total = int(n.sum())
-        if not total:
-            return []
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
-        offset = np.repeat(np.arange(len(fp)), n) - self.frame[at]
-        pair, count = np.unique((self.query[at].astype(np.int64) << 32) + (offset + (1 << 30)), return_counts=True)
-        query = pair >> 32
-        order = np.lexsort((pair, -count, query))
-        best = order[np.append(True, query[order][1:] != query[order][:-1])]
-        out = []
-        for k in best.tolist():
-            q, off = int(query[k]), int((pair[k] & 0xFFFFFFFF) - (1 << 30))
-            own = self.fps[q]
-            if count[k] >= min(votes, len(own), len(fp)):
-                overlap, errors = align(own, fp, off)
-                if errors <= most_errors and 2 * overlap >= min(len(own), len(fp)):
-                    out.append((q, off, errors))
-        return out
-
-
 def members(prints: DataFrame, is_query) -> DataFrame:
     """key, fp, is_query and class of every row of ``prints`` (key, fp); a null class where there are no integers."""
     own = F.when(F.octet_length("fp") > 0, F.xxhash64("fp"))
     return prints.select("key", "fp", is_query.alias("is_query"), own.alias("class"))
 
 
-def matches(placed: DataFrame, votes: int = 3, most_errors: float = 0.25) -> DataFrame:
+def matches(placed: DataFrame, votes: int = 3, most_errors: float = 0.25, salt_rows: int = SALT_ROWS) -> DataFrame:
     """query_class, class, offset and errors of every class that aligns with the class of a query; ``placed``: from ``members``."""
     spark = placed.sparkSession
     classes = common.cut(placed.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("fp").alias("fp"), F.max(F.col("is_query").cast("int")).alias("asks")))
-    found = None
-    for number, (names, fps) in enumerate(_blocks(classes.where("asks = 1").select("class", "fp").orderBy("class"))):
-        part = _meet(classes, spark.sparkContext.broadcast((names, Block(fps, number))), votes, most_errors)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], MATCHES) if found is None else found
+    asking = classes.where("asks = 1").select("class", "fp")
+    wanted = spark.sparkContext.broadcast(common.bitmap(asking.mapInArrow(_values, "value long")))
+    salts = spark.sparkContext.broadcast(_salts(classes.select("class", "fp"), wanted, salt_rows))
+    asked = asking.mapInArrow(_postings(salts, None), POSTINGS).toDF("value", "salt", "query_class", "frame", "size")
+    heard = classes.select("class", "fp").mapInArrow(_postings(salts, wanted), POSTINGS).toDF("value", "salt", "class", "at", "frames")
+    counted = asked.join(heard, ["value", "salt"]).groupBy("query_class", "class", (F.col("at") - F.col("frame")).alias("offset")).agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("frames").alias("frames"))
+    enough = counted.where(F.col("n") >= F.least(F.lit(votes), "size", "frames"))
+    best = enough.groupBy("query_class", "class").agg(F.max(F.struct("n", (-F.col("offset")).alias("least"))).alias("best"))
+    pairs = best.select("query_class", "class", (-F.col("best.least")).cast("long").alias("offset"))
+    own = classes.select(F.col("class").alias("query_class"), F.col("fp").alias("query_fp"))
+    both = pairs.join(classes.select("class", "fp"), "class").join(own, "query_class")
+    return both.select("query_class", "class", "offset", "query_fp", "fp").mapInArrow(_verify(most_errors), MATCHES)
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), RECORDINGS):
+            values = np.frombuffer(b"".join(batch.column(1).slice(at, RECORDINGS).to_pylist()), "<u4")
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(values).astype(np.int64))], names=["value"])
+
+
+def _heard(batch: pa.RecordBatch, wanted) -> tuple[np.ndarray, ...]:
+    """Value, row, frame and number of frames of each integer that a query has."""
+    fps = batch.column(1).to_pylist()
+    size = np.array([len(f) // 4 for f in fps], np.int64)
+    value = np.frombuffer(b"".join(fps), "<u4").astype(np.int64)
+    row = np.repeat(np.arange(len(fps)), size)
+    frame = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
+    if wanted is not None:
+        there = np.flatnonzero(wanted.value.has(pa.array(value)))
+        value, row, frame = value[there], row[there], frame[there]
+    return value, row, frame, size[row]
+
+
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (common.mix(values.view(np.uint64) ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def _salts(classes: DataFrame, wanted, salt_rows: int) -> np.ndarray:
+    """Into how many parts the integers of each counter are dealt, by what it has above the usual one."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), RECORDINGS):
+                seen += np.bincount(_counter(_heard(batch.slice(at, RECORDINGS), wanted)[0]), minlength=1 << COUNTER_BITS)
+        yield common.table_rows({"seen": seen})
+
+    seen = common.summed_tables(classes.mapInArrow(count, common.TABLE_SCHEMA), 1 << COUNTER_BITS).get("seen", np.zeros(1 << COUNTER_BITS, np.int64))
+    return np.clip(-(-(seen - 2 * int(np.median(seen))) // salt_rows), 1, MOST_SALTS)
+
+
+def _postings(salts, wanted):
+    """Rows of POSTINGS. The integers of recordings (``wanted`` given) go to one part each, those of queries to all parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(at, RECORDINGS) for b in batches for at in range(0, len(b), RECORDINGS)):
+            value, row, frame, size = _heard(part, wanted)
+            name = part.column(0).to_numpy()[row]
+            many = salts.value[_counter(value)]
+            if wanted is not None:
+                salt = (common.mix(name.view(np.uint64)) % many.astype(np.uint64)).astype(np.int64)
+            else:
+                salt = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                value, name, frame, size = (np.repeat(x, many) for x in (value, name, frame, size))
+            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.uint32).view(np.int32)), pa.array(salt.astype(np.int32)), pa.array(name), pa.array(frame.astype(np.int32)), pa.array(size.astype(np.int32))], names=["value", "salt", "name", "frame", "size"])
+
+    return run
 
 
-def search(prints: DataFrame, is_query, k: int = 3, votes: int = 3, most_errors: float = 0.25) -> DataFrame:
+def _verify(most_errors: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(at, RECORDINGS) for b in batches for at in range(0, len(b), RECORDINGS)):
+            errors = np.full(len(part), np.inf)
+            for k, (offset, a, b) in enumerate(zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)):
+                a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+                overlap, wrong = align(a, b, offset)
+                if 2 * overlap >= min(len(a), len(b)):
+                    errors[k] = wrong
+            out = part.select(["query_class", "class", "offset"]).append_column("errors", pa.array(errors))
+            yield out.filter(pa.array(errors <= most_errors))
+
+    return run
+
+
+def search(prints: DataFrame, is_query, k: int = 3, votes: int = 3, most_errors: float = 0.25, salt_rows: int = SALT_ROWS) -> DataFrame:
     """key, n_matches and the k best matches (key, offset, errors) of every query row, itself left out: a report, ``matches`` has all.
 
     ``prints``: key, fp. n_matches counts the other rows that align, equal recordings included.
     """
     placed = common.cut(members(prints, is_query))
-    found = common.cut(matches(placed, votes, most_errors))
+    found = common.cut(matches(placed, votes, most_errors, salt_rows))
     sound = placed.where(F.col("class").isNotNull())
     copies = sound.groupBy("class").agg(F.count("*").alias("copies"))
     hits = found.join(copies, "class").groupBy("query_class").agg(F.sum("copies").alias("hits"))
@@ -244,38 +306,6 @@ def _few_keys(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("class").agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 
-def _blocks(asking: DataFrame) -> Iterator[tuple[list[int], list[bytes]]]:
-    names, fps, size = [], [], 0
-    for row in asking.toLocalIterator():
-        names.append(row["class"])
-        fps.append(bytes(row["fp"]))
-        size += len(fps[-1]) // 4
-        if size >= BLOCK_FRAMES:
-            yield names, fps
-            names, fps, size = [], [], 0
-    if names:
-        yield names, fps
-
-
-def _meet(classes: DataFrame, shared, votes: int, most_errors: float) -> DataFrame:
-    """Every match of a block's query classes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, block = shared.value
-        kind = pa.schema([("query_class", pa.int64()), ("class", pa.int64()), ("offset", pa.int64()), ("errors", pa.float64())])
-        for batch in batches:
-            rows = []
-            for name, fp in zip(*batch.columns, strict=True):
-                rows += [(names[q], name.as_py(), offset, errors) for q, offset, errors in block.matches(np.frombuffer(fp.as_py(), "<u4"), votes, most_errors)]
-                if len(rows) >= MOST_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
-
-    return classes.select("class", "fp").mapInArrow(run, MATCHES)
-
-
 def _placed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = fingerprints(common.table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", sonify)
     return members(prints, F.coalesce(F.col("key.conv_id") % 50 == 0, F.lit(False)))
