@@ -10,10 +10,11 @@ classifier was right on that language, and the codeword with the least
 weighted logistic loss wins. A text whose two best codewords lie closer than
 ``ambiguity`` is flagged.
 
-Counts come from every learning row, in one pass; what is broadcast is the
-weight table, ``2**BITS`` rows by code length, of the same size for any input.
-Bit accuracies and margin scales are measured on a hash-chosen sample of about
-``calibration_rows`` learning rows.
+Counts come from every learning row but those of a hash-chosen sample of about
+``calibration_rows`` (a fifth of the rows at most), on which bit accuracies and
+margin scales are measured. What is broadcast is the
+weight table, ``2**BITS`` rows by code length, of the same size for any input:
+the ``max_langs`` languages with most rows are learnt.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
 0; with no learning rows every text is ``und``; null ids are kept and count as
@@ -120,10 +121,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield common.table_rows(counts)
 
 
-def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 4000, smoothing: float = 0.5) -> LanguageModel:
-    """Learn from every row with a language; rows without letters add nothing."""
+def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 4000, smoothing: float = 0.5, max_langs: int = 100) -> LanguageModel:
+    """Learn from the rows with a language; rows without letters add nothing."""
     learn = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    tables = common.summed_tables(learn.mapInArrow(_count, common.TABLE_SCHEMA), 1 << BITS)
+    common_langs = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    learn = learn.where(F.col("lang").isin([r["lang"] for r in common_langs]))
+    share = min(0.2, calibration_rows / max(1, sum(r["count"] for r in common_langs)))
+    sampled = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))
+    tables = common.summed_tables(learn.where(~sampled).mapInArrow(_count, common.TABLE_SCHEMA), 1 << BITS)
     blank = int(ngrams(np.full(4, 32, np.uint8))[0])
     for t in tables.values():
         t[blank] = 0
@@ -137,15 +142,13 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", calibra
         on, off = code[:, b] > 0, code[:, b] < 0
         weights[:, b] = np.log(p[:, on].mean(1)) - (np.log(p[:, off].mean(1)) if off.any() else 0)
     model = LanguageModel(langs, code, weights, np.ones(code.shape[1]), np.full(code.shape, 1 / code.shape[1]))
-    _calibrate(model, learn, calibration_rows)
+    _calibrate(model, learn.where(sampled))
     return model
 
 
-def _calibrate(model: LanguageModel, learn: DataFrame, rows: int) -> None:
-    """Margin scales and bit accuracies from a sample chosen by the text's hash, of about ``rows`` rows."""
-    spark = learn.sparkSession
-    share = min(1.0, rows / max(1, learn.count()))
-    sample = learn.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+def _calibrate(model: LanguageModel, sample: DataFrame) -> None:
+    """Margin scales and bit accuracies from rows that weren't counted."""
+    spark = sample.sparkSession
     shared = spark.sparkContext.broadcast(model)
     index = {k: i for i, k in enumerate(model.langs)}
 
