@@ -2,12 +2,13 @@
 
 Texts and license templates become sequences of hashed five-word shingles over
 lower-cased runs of letters and digits. A text is read in windows of STEP shingles
-that begin every STEP shingles: as a shingle spans five words, neighbouring windows overlap
-by four words. Templates are read in windows at every offset, so one of them is aligned with
+that begin every STRIDE shingles, so they overlap and every shingle is in two of them.
+Templates are read in windows at every offset, so one of them is aligned with
 any window of a text that falls into a copy. Each window has BANDS MinHash
 bands of one row; a text window that shares a band with a template window
 retrieves the template. Bands of one row find windows of similarity J with probability
-1 - (1 - J) ** BANDS: over 0.999 at J = 1/4, which is the least that a window holding one unbroken shingle of a
+1 - (1 - J) ** BANDS, and two windows with 1 - (1 - J) ** (2 * BANDS): over 0.99998 at J = 1/4, which is the least that
+windows holding one unbroken shingle of a
 shorter template can have. Then the share of the template's different shingles that stand in the text around the
 alignment is counted exactly and compared with the threshold.
 
@@ -33,7 +34,8 @@ from . import common
 
 WORDS = 5
 STEP = 4
-BANDS = 24
+STRIDE = 2
+BANDS = 20
 MOST_TEMPLATES = 1000
 MOST_WORDS = 2000
 
@@ -81,7 +83,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, id_c
     known = spark.createDataFrame(list(templates), "license string, template string").select("license", shingles(F.col("template")).alias("h"))
     known = bands(known, F.lit(1 - STEP), 1).select("license", F.col("at").alias("offset"), "band", "key", F.size("h").alias("length"), F.array_distinct("h").alias("wanted"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shingles(F.col(text_col).cast("string")).alias("h"))
-    found = bands(rows, F.lit(0), STEP).join(F.broadcast(known), ["band", "key"])
+    found = bands(rows, F.lit(STRIDE - STEP), STRIDE).join(F.broadcast(known), ["band", "key"])
     slack = F.col("length") + STEP
     start = F.col("at") - F.col("offset")
     begin = F.greatest(start - slack, F.lit(0))
