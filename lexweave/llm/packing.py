@@ -114,7 +114,8 @@ def pack(docs: DataFrame, n_tokens: Column, id_col: str = "doc_id", lengths: tup
         names = ["doc_id", "chunk", "first_token", "n_tokens", "bin_id", "bin_capacity", "bin_offset"]
         return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() if rows[c].num_chunks != 1 else rows[c].chunk(0) for c in names[:4]), *new], names=names)
 
-    dealt = pieces.withColumn("h", F.xxhash64("doc_id", "chunk", "n_tokens")).repartition(blocks, "h").sortWithinPartitions("h", "doc_id", "chunk", "n_tokens")
+    nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id are dealt by their place, not all to one block
+    dealt = pieces.withColumn("h", F.xxhash64("doc_id", "chunk", "n_tokens", nameless)).repartition(blocks, "h").sortWithinPartitions("h", "doc_id", "chunk", "n_tokens")
     return dealt.select("doc_id", "chunk", "first_token", "n_tokens").mapInArrow(run, SCHEMA)
 
 
