@@ -45,6 +45,9 @@ SLICE = 4096
 PIECE = 256
 #: Characters of text handled at a time.
 STEP = 1 << 17
+#: Rows of a range, and the most ranges there are: so many numbers go to the driver.
+RANGE_ROWS = 1 << 13
+MOST_RANGES = 20_000
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _CACHE: list[np.ndarray] = []
 
@@ -189,7 +192,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranges = 4 * common.shuffle_width(spark)
+    ranges = max(4 * common.shuffle_width(spark), min(MOST_RANGES, -(-rows.count() // RANGE_ROWS)))
     cuts = rows.where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
     bounds = -np.array(sorted({int(c) for c in cuts}, reverse=True), np.int64)
 
@@ -223,7 +226,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([pa.array([before[parts[k]] for k in extra], pa.int64()), pa.array([False] * len(extra)), *again.columns], names=["part", "member", "doc_id", "text"])
 
     dealt = rows.mapInArrow(deal, "part long, member boolean, doc_id long, text string")
-    walked = dealt.repartition(common.shuffle_width(spark), "part").sortWithinPartitions("part", F.desc("member"), F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
+    walked = dealt.repartition(max(common.shuffle_width(spark), ranges // 4), "part").sortWithinPartitions("part", F.desc("member"), F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
     return walked.mapInArrow(_walk, SCHEMA)
 
 

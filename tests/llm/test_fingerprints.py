@@ -1,9 +1,12 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from lexweave.llm import common
 from lexweave.llm import fingerprints as fp
+from lexweave.llm.quality import word_hashes
 from tests.llm.odd import docs, none, rows
 
 
@@ -43,6 +46,48 @@ def test_terms_of_one_place_and_slices(monkeypatch):
     assert all(np.array_equal(x, y) for x, y in zip(whole, fp.signatures(texts), strict=True))
 
 
+def brute_signature(text):
+    """Every term by definition, from a dictionary of word pairs."""
+    words, at = word_hashes([text.lower()])
+    spelt = text.lower().split()
+    assert len(spelt) == len(words)
+    named = dict(zip(spelt, words, strict=True))
+    pairs = Counter(zip([None, *spelt], spelt, strict=False))
+    if not pairs:
+        return None
+    weights = Counter()
+    for (a, b), n in pairs.items():
+        first = np.array([0 if a is None else named[a]], np.uint64)
+        weights[int(common.mix(first * np.uint64(3) ^ np.array([named[b]], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0])] += n
+    assert len(weights) == len(pairs), "different pairs are different terms"
+    least, best = np.full(fp.SAMPLES, np.inf), np.zeros(fp.SAMPLES, np.uint16)
+    for term, n in weights.items():
+        one = np.array([term], np.uint64)
+        r, c, b = (x[0] for x in fp.variates(one))
+        t = np.floor(np.log(np.float32(n)) / r + b)
+        value = c - r * (t - b + 1) if n > 1 else c - r * (1 - b)
+        code = fp._codes(one, t.astype(np.int64))
+        best = np.where((value < least) | (value == least) & (code > best), code, best)
+        least = np.minimum(value, least)
+    return best
+
+
+def test_query_equals_brute_force_on_long_texts(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    long = [" ".join(f"{side}{x}" for x in rng.integers(0, size, 20_000)) for side, size in (("a", 10**9), ("b", 10**9), ("a", 300))]
+    texts = [long[0], long[1], long[2], long[0][: len(long[0]) // 2] + " " + long[1], "short one", "", None, "a a a a b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in fp.op8_fingerprint(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    own = [brute_signature(t or "") for t in texts]
+    for i, t in enumerate(texts):
+        t, following = t or "", texts[i - 1] or ""
+        edited = brute_signature(fp.edit(t, following))
+        assert got[i]["fingerprint"] == fp._text_of(own[i]) and got[i]["edited_fingerprint"] == fp._text_of(edited)
+        assert got[i]["near_next"] == fp.likeness(own[i], own[i - 1]) and got[i]["near_edited"] == fp.likeness(own[i], edited)
+    assert got[1]["near_next"] == 0 and 0.5 < got[0]["near_edited"] < 1
+
+
 def brute(rows_):
     order = sorted(rows_, key=lambda r: (r[0] is not None, r[0] or 0, ), reverse=True)
     order = sorted(order, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
