@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet into the folder executors share and read again as the next one's
-input. All but the last return the columns of ``documents`` for the documents
+input; a stage's folder is deleted when the next one is written, the last one's stays for its reader. All but the last return the columns of ``documents`` for the documents
 they keep: those with a clear language, then those drawn by the quality
 classifier, then one of each group of near duplicates. The last returns the
 sequences the remaining documents are packed into.
@@ -39,7 +39,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of ``sf_dir``."""
     docs = common.table(spark, sf_dir, "documents")
     base = f"{common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            common.delete(spark, before)
+        before = f"{base}/{name}"
     return docs
