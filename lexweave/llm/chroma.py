@@ -10,11 +10,11 @@ Two recordings are aligned by the offset at which most of their equal
 integers meet; the overlap at this offset is then compared bit by bit, and a share of
 unequal bits of at most ``most_errors`` is a match.
 
-Search: recordings with equal fingerprints are one class. The integers of the
-query classes meet equal integers of all classes in a join (integers that no
-query has are left out before it by a bitmap, and frequent ones are dealt to several
-parts), votes are counted by pair and offset, and the best offset of every pair
-is verified on both fingerprints. ``matches`` gives every pair of a query's
+Search: recordings with equal fingerprints are one class. The query classes are
+written to the folder that executors share. Each task leaves out recordings without
+an integer that some query has (a bitmap of bounded size says so), holds at most HELD bytes of the
+others, and lets them meet the queries block by block, BLOCK_FRAMES integers at a
+time, so neither driver nor plan grow with the queries. ``matches`` gives every pair of a query's
 class and a class that aligns with it, its own included, and ``members`` the class of every recording; both together
 are every pair of aligning recordings, and copies don't multiply rows. ``search`` is a
 report from them: the ``k`` best matches a query and the number of all.
@@ -31,11 +31,14 @@ empty table gives an empty result. Other input columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +51,14 @@ WIDE = 8
 #: Samples decoded at a time (or one longer recording), frames transformed and fingerprints looked at at a time.
 SAMPLES = 1 << 21
 RECORDINGS = 256
-FRAMES = 2048
-#: Counters of how frequent integers are, and rows of an integer above which it is dealt to several parts.
-COUNTER_BITS = 16
-SALT_ROWS = 1 << 16
-MOST_SALTS = 256
+FRAMES = 256
+#: Integers of queries that a task looks at at a time, how many such blocks it keeps, and bytes of recordings it holds.
+BLOCK_FRAMES = 1 << 18
+KEPT_BLOCKS = 4
+HELD = 1 << 24
+#: About so many matches are held before they are passed on.
+MOST_ROWS = 1 << 14
 MATCHES = "query_class long, class long, offset long, errors double"
-POSTINGS = "value int, salt int, name long, frame int, size int"
 Decoder = Callable[[object], np.ndarray]
 
 
@@ -85,15 +89,16 @@ FILTERS = _filters()
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
-def _bins() -> list[np.ndarray]:
-    """The spectrum bins of each pitch class."""
+def _bins() -> tuple[np.ndarray, np.ndarray]:
+    """The spectrum bins that are heard, by pitch class, and where each class begins among them."""
     f = np.fft.rfftfreq(FRAME, 1 / RATE)
     heard = np.flatnonzero((f > 100) & (f < 1900))
     pitch = np.round(12 * np.log2(f[heard] / 440)).astype(int) % 12
-    return [heard[pitch == k] for k in range(12)]
+    order = np.argsort(pitch, kind="stable")
+    return heard[order], np.searchsorted(pitch[order], np.arange(12))
 
 
-BINS = _bins()
+BINS, FIRST_BIN = _bins()
 WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -109,10 +114,8 @@ def pitch_classes(recordings: list[np.ndarray]) -> list[np.ndarray]:
     windows = np.lib.stride_tricks.sliding_window_view(padded, FRAME)
     out = np.empty((len(first), 12), np.float32)
     for at in range(0, len(first), FRAMES):
-        spectrum = np.fft.rfft(windows[first[at : at + FRAMES]] * WINDOW)
-        power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        for k in range(12):
-            out[at : at + FRAMES, k] = power[:, BINS[k]].sum(1)
+        spectrum = np.fft.rfft(windows[first[at : at + FRAMES]] * WINDOW)[:, BINS]
+        out[at : at + FRAMES] = np.add.reduceat(spectrum.real**2 + spectrum.imag**2, FIRST_BIN, axis=1)
     total = out.sum(1, keepdims=True)
     out = np.where(total > 1e-9, out / np.maximum(total, 1e-9), 0)
     return np.split(out, np.cumsum(n)[:-1]) if n else []
@@ -191,22 +194,54 @@ def members(prints: DataFrame, is_query) -> DataFrame:
     return prints.select("key", "fp", is_query.alias("is_query"), own.alias("class"))
 
 
-def matches(placed: DataFrame, votes: int = 3, most_errors: float = 0.25, salt_rows: int = SALT_ROWS) -> DataFrame:
+class Block:
+    """Some queries' integers, ordered, with the query and frame each is from."""
+
+    def __init__(self, names: list[int], fps: list[bytes]):
+        self.names = names
+        self.fps = [np.frombuffer(f, "<u4") for f in fps]
+        size = np.array([len(f) for f in self.fps], np.int64)
+        value = np.concatenate(self.fps)
+        query = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        frame = (np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        order = np.argsort(value, kind="stable")
+        self.value, self.query, self.frame = value[order], query[order], frame[order]
+
+    def matches(self, fp: np.ndarray, votes: int, most_errors: float) -> list[tuple[int, int, float]]:
+        """(class, offset, errors) of each query that this recording aligns with."""
+        lo, hi = np.searchsorted(self.value, fp, "left"), np.searchsorted(self.value, fp, "right")
+        n = hi - lo
+        total = int(n.sum())
+        if not total:
+            return []
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
+        offset = np.repeat(np.arange(len(fp)), n) - self.frame[at]
+        pair, count = np.unique((self.query[at].astype(np.int64) << 32) + (offset + (1 << 30)), return_counts=True)
+        query = pair >> 32
+        order = np.lexsort((pair, -count, query))
+        best = order[np.append(True, query[order][1:] != query[order][:-1])]
+        out = []
+        for k in best.tolist():
+            q, off = int(query[k]), int((pair[k] & 0xFFFFFFFF) - (1 << 30))
+            own = self.fps[q]
+            if count[k] >= min(votes, len(own), len(fp)):
+                overlap, errors = align(own, fp, off)
+                if errors <= most_errors and 2 * overlap >= min(len(own), len(fp)):
+                    out.append((self.names[q], off, errors))
+        return out
+
+
+def matches(placed: DataFrame, votes: int = 3, most_errors: float = 0.25, block_frames: int = BLOCK_FRAMES) -> DataFrame:
     """query_class, class, offset and errors of every class that aligns with the class of a query; ``placed``: from ``members``."""
     spark = placed.sparkSession
     classes = common.cut(placed.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("fp").alias("fp"), F.max(F.col("is_query").cast("int")).alias("asks")))
     asking = classes.where("asks = 1").select("class", "fp")
     wanted = spark.sparkContext.broadcast(common.bitmap(asking.mapInArrow(_values, "value long")))
-    salts = spark.sparkContext.broadcast(_salts(classes.select("class", "fp"), wanted, salt_rows))
-    asked = asking.mapInArrow(_postings(salts, None), POSTINGS).toDF("value", "salt", "query_class", "frame", "size")
-    heard = classes.select("class", "fp").mapInArrow(_postings(salts, wanted), POSTINGS).toDF("value", "salt", "class", "at", "frames")
-    counted = asked.join(heard, ["value", "salt"]).groupBy("query_class", "class", (F.col("at") - F.col("frame")).alias("offset")).agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("frames").alias("frames"))
-    enough = counted.where(F.col("n") >= F.least(F.lit(votes), "size", "frames"))
-    best = enough.groupBy("query_class", "class").agg(F.max(F.struct("n", (-F.col("offset")).alias("least"))).alias("best"))
-    pairs = best.select("query_class", "class", (-F.col("best.least")).cast("long").alias("offset"))
-    own = classes.select(F.col("class").alias("query_class"), F.col("fp").alias("query_fp"))
-    both = pairs.join(classes.select("class", "fp"), "class").join(own, "query_class")
-    return both.select("query_class", "class", "offset", "query_fp", "fp").mapInArrow(_verify(most_errors), MATCHES)
+    folder = f"{common.shared_dir(spark).rstrip('/')}/chroma-{uuid.uuid4().hex}"
+    asking.write.parquet(folder)
+    found = common.cut(classes.select("class", "fp").mapInArrow(_meet(folder, wanted, votes, most_errors, block_frames), MATCHES))
+    common.delete(spark, folder)
+    return found
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,77 +251,76 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(values).astype(np.int64))], names=["value"])
 
 
-def _heard(batch: pa.RecordBatch, wanted) -> tuple[np.ndarray, ...]:
-    """Value, row, frame and number of frames of each integer that a query has."""
-    fps = batch.column(1).to_pylist()
-    size = np.array([len(f) // 4 for f in fps], np.int64)
-    value = np.frombuffer(b"".join(fps), "<u4").astype(np.int64)
-    row = np.repeat(np.arange(len(fps)), size)
-    frame = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
-    if wanted is not None:
-        there = np.flatnonzero(wanted.value.has(pa.array(value)))
-        value, row, frame = value[there], row[there], frame[there]
-    return value, row, frame, size[row]
+def _blocks(folder: str, frames: int) -> Iterator[Block]:
+    """The queries in the folder, about ``frames`` integers at a time."""
+    fs, root = common.file_system(folder)
+    names, fps, size = [], [], 0
+    for info in sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda i: i.path):
+        if not info.base_name.endswith(".parquet"):
+            continue
+        with fs.open_input_file(info.path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(RECORDINGS, columns=["class", "fp"]):
+                for name, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    names.append(name)
+                    fps.append(fp)
+                    size += len(fp) // 4
+                    if size >= frames:
+                        yield Block(names, fps)
+                        names, fps, size = [], [], 0
+    if names:
+        yield Block(names, fps)
+
+
+def _meet(folder: str, wanted, votes: int, most_errors: float, frames: int):
+    kind = pa.schema([("query_class", pa.int64()), ("class", pa.int64()), ("offset", pa.int64()), ("errors", pa.float64())])
 
-
-def _counter(values: np.ndarray) -> np.ndarray:
-    return (common.mix(values.view(np.uint64) ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
-
-
-def _salts(classes: DataFrame, wanted, salt_rows: int) -> np.ndarray:
-    """Into how many parts the integers of each counter are dealt, by what it has above the usual one."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in batches:
-            for at in range(0, len(batch), RECORDINGS):
-                seen += np.bincount(_counter(_heard(batch.slice(at, RECORDINGS), wanted)[0]), minlength=1 << COUNTER_BITS)
-        yield common.table_rows({"seen": seen})
-
-    seen = common.summed_tables(classes.mapInArrow(count, common.TABLE_SCHEMA), 1 << COUNTER_BITS).get("seen", np.zeros(1 << COUNTER_BITS, np.int64))
-    return np.clip(-(-(seen - 2 * int(np.median(seen))) // salt_rows), 1, MOST_SALTS)
-
-
-def _postings(salts, wanted):
-    """Rows of POSTINGS. The integers of recordings (``wanted`` given) go to one part each, those of queries to all parts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (b.slice(at, RECORDINGS) for b in batches for at in range(0, len(b), RECORDINGS)):
-            value, row, frame, size = _heard(part, wanted)
-            name = part.column(0).to_numpy()[row]
-            many = salts.value[_counter(value)]
-            if wanted is not None:
-                salt = (common.mix(name.view(np.uint64)) % many.astype(np.uint64)).astype(np.int64)
-            else:
-                salt = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                value, name, frame, size = (np.repeat(x, many) for x in (value, name, frame, size))
-            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.uint32).view(np.int32)), pa.array(salt.astype(np.int32)), pa.array(name), pa.array(frame.astype(np.int32)), pa.array(size.astype(np.int32))], names=["value", "salt", "name", "frame", "size"])
-
-    return run
-
-
-def _verify(most_errors: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+        kept: list[Block] = []
+        size, known = 0, False
         for part in (b.slice(at, RECORDINGS) for b in batches for at in range(0, len(b), RECORDINGS)):
-            errors = np.full(len(part), np.inf)
-            for k, (offset, a, b) in enumerate(zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)):
-                a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-                overlap, wrong = align(a, b, offset)
-                if 2 * overlap >= min(len(a), len(b)):
-                    errors[k] = wrong
-            out = part.select(["query_class", "class", "offset"]).append_column("errors", pa.array(errors))
-            yield out.filter(pa.array(errors <= most_errors))
+            names, fps = (c.to_pylist() for c in part.columns)
+            length = np.array([len(f) // 4 for f in fps], np.int64)
+            there = wanted.value.has(pa.array(np.frombuffer(b"".join(fps), "<u4").astype(np.int64)))
+            for i in np.flatnonzero(np.add.reduceat(there, np.cumsum(length) - length)).tolist():
+                held.append((names[i], np.frombuffer(fps[i], "<u4")))
+                size += len(fps[i])
+            if size >= HELD:
+                yield from met(held, kept, known)
+                held, size, known = [], 0, True
+        if held:
+            yield from met(held, kept, known)
+
+    def met(held: list[tuple[int, np.ndarray]], kept: list[Block], known: bool) -> Iterator[pa.RecordBatch]:
+        """``kept``: the blocks, if they are few; ``known``: whether they have been read before."""
+        rows: list[tuple[int, int, int, float]] = []
+        for block in kept if known and kept else _blocks(folder, frames):
+            if not known:
+                kept.append(block)
+            for name, fp in held:
+                rows += [(q, name, offset, errors) for q, offset, errors in block.matches(fp, votes, most_errors)]
+                if len(rows) >= MOST_ROWS:
+                    yield batch_of(rows)
+                    rows = []
+            if len(kept) > KEPT_BLOCKS:
+                kept.clear()
+                known = True
+        if rows:
+            yield batch_of(rows)
+
+    def batch_of(rows: list[tuple[int, int, int, float]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
 
     return run
 
 
-def search(prints: DataFrame, is_query, k: int = 3, votes: int = 3, most_errors: float = 0.25, salt_rows: int = SALT_ROWS) -> DataFrame:
+def search(prints: DataFrame, is_query, k: int = 3, votes: int = 3, most_errors: float = 0.25, block_frames: int = BLOCK_FRAMES) -> DataFrame:
     """key, n_matches and the k best matches (key, offset, errors) of every query row, itself left out: a report, ``matches`` has all.
 
     ``prints``: key, fp. n_matches counts the other rows that align, equal recordings included.
     """
     placed = common.cut(members(prints, is_query))
-    found = common.cut(matches(placed, votes, most_errors, salt_rows))
+    found = common.cut(matches(placed, votes, most_errors, block_frames))
     sound = placed.where(F.col("class").isNotNull())
     copies = sound.groupBy("class").agg(F.count("*").alias("copies"))
     hits = found.join(copies, "class").groupBy("query_class").agg(F.sum("copies").alias("hits"))
@@ -312,9 +346,10 @@ def _placed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every match of the turns of conversations whose id is divisible by 50 with all turns, by class; op6_chroma_members has the turns of a class."""
+    """For every class of turns of conversations whose id is divisible by 50: all classes that align with it, the best first; op6_chroma_members has the turns of a class."""
     found = matches(common.cut(_placed_turns(spark, sf_dir)))
-    return found.select("query_class", "class", "offset", F.round("errors", 6).alias("errors"))
+    listed = F.sort_array(F.collect_list(F.struct(F.round("errors", 6).alias("errors"), "class", "offset")))
+    return found.groupBy("query_class").agg(F.count("*").alias("n_classes"), F.to_json(listed).alias("classes"))
 
 
 def op6_chroma_members(spark: SparkSession, sf_dir: str) -> DataFrame:

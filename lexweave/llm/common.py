@@ -7,6 +7,7 @@ the longest single text and never the batch or the partition.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,13 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """Where a task that reads files itself finds them: any file system that pyarrow knows (local, HDFS, S3, GCS)."""
+    if re.match(r"file:/+", path):
+        return pafs.LocalFileSystem(), "/" + re.sub(r"^file:/+", "", path)
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -87,7 +87,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        fs, root = _open(self.path)
+        fs, root = common.file_system(self.path)
         found = fs.get_file_info(root)
         if found.type == pafs.FileType.Directory:
             infos = [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))]
@@ -106,7 +106,7 @@ class WarcReader(DataSourceReader):
         return groups or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        fs, _ = _open(self.path)
+        fs, _ = common.file_system(self.path)
         for path in partition.paths:
             yield from self._batches(fs, path)
 
@@ -249,12 +249,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    if re.match(r"file:/+", path):
-        return pafs.LocalFileSystem(), "/" + re.sub(r"^file:/+", "", path)
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 class WarcDataSource(DataSource):
     """spark.read.format("warc").load(path)"""
 

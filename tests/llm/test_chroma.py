@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.llm import chroma
+from lexweave.llm import chroma, common
 from tests.llm.odd import docs, none
 
 
@@ -84,30 +84,54 @@ def brute(prints, k):
     return out
 
 
-@pytest.mark.parametrize("salt_rows", [2, 1 << 16])
-def test_search_equals_brute_force(spark, songs, salt_rows):
+@pytest.mark.parametrize("block", [40, 1 << 18])
+def test_search_equals_brute_force(spark, songs, block):
     prints = chroma.fingerprints(songs, ["id"], "text", chroma.sonify)
-    got = chroma.search(prints, F.col("key.id") % 50 == 0, salt_rows=salt_rows).collect()
+    got = chroma.search(prints, F.col("key.id") % 50 == 0, block_frames=block).collect()
     want = brute({r["id"]: integers(chroma.sonify(r["text"]))[0] for r in songs.collect()}, 3)
     assert {r["key"]["id"]: (r["n_matches"], [(m["errors"], tuple(m["key"]), m["offset"]) for m in r["best"] or []]) for r in got} == want
     assert want[0][0] == 2 and want[0][1][1][2] == 13 and want[100][0] == 2
 
 
-@pytest.mark.parametrize("salt_rows", [2, 1 << 16])
-def test_matches_and_members_give_every_pair(spark, salt_rows):
+@pytest.mark.parametrize("block", [40, 1 << 18])
+def test_matches_and_members_give_every_pair(spark, block):
     rows = [(k, song(k, 40)) for k in range(10)] + [(20 + k, song(0, 40)) for k in range(5)] + [(30 + k, song(60 + k, 9 + k) + " " + song(0, 40)) for k in range(5)]
     prints = chroma.fingerprints(spark.createDataFrame(rows, "id long, text string"), ["id"], "text", chroma.sonify).cache()
     placed = chroma.members(prints, F.col("key.id") % 50 == 0).cache()
     of = {}
     for r in placed.collect():
         of.setdefault(r["class"], []).append(r["key"]["id"])
-    found = chroma.matches(placed, salt_rows=salt_rows).collect()
+    found = chroma.matches(placed, block_frames=block).collect()
     got = sorted((r["errors"], (k,), r["offset"]) for r in found if 0 in of[r["query_class"]] for k in of[r["class"]] if k)
     want = brute({r["key"]["id"]: np.frombuffer(r["fp"], "<u4") for r in prints.collect()}, None)[0]
     assert got == want[1] and len(got) == want[0] >= 10
     assert len(found) == len({(r["query_class"], r["class"]) for r in found}) < want[0]
 
 
+def test_blocks_are_read_again_for_every_held_part(spark, tmp_path):
+    """With little room, recordings meet the same blocks part by part; blocks beyond the kept ones are read anew."""
+    rows = [(k, chroma.packed(chroma.pitch_classes([chroma.sonify(song(k % 7, 30 + k % 3))]))[0].astype("<u4").tobytes()) for k in range(24)]
+    spark.createDataFrame(rows, "class long, fp binary").coalesce(2).write.parquet(str(tmp_path / "q"))
+    assert [len(b.names) for b in chroma._blocks(str(tmp_path / "q"), 40)] == [2] * 12
+
+    class Wanted:
+        value = common.bitmap(spark.createDataFrame(rows, "class long, fp binary").mapInArrow(chroma._values, "value long"))
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], names=["class", "fp"])
+    want = None
+    for held, kept, size in ((1 << 24, 4, 1 << 18), (150, 4, 40), (150, 100, 40), (1, 1, 1 << 18)):
+        old = chroma.HELD, chroma.KEPT_BLOCKS, chroma.RECORDINGS
+        chroma.HELD, chroma.KEPT_BLOCKS, chroma.RECORDINGS = held, kept, 5
+        try:
+            got = sorted(tuple(r.values()) for b in chroma._meet(str(tmp_path / "q"), Wanted, 3, 0.25, size)(iter([batch])) for r in b.to_pylist())
+        finally:
+            chroma.HELD, chroma.KEPT_BLOCKS, chroma.RECORDINGS = old
+        want = want or got
+        assert got == want and len(got) >= 24
+
+
 def test_odd_rows(spark):
     odd = chroma.fingerprints(docs(spark), ["doc_id", "n_chars"], "text", chroma.sonify)
     got = chroma.search(odd, F.lit(True)).collect()
