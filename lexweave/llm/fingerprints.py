@@ -46,7 +46,7 @@ PIECE = 256
 #: Characters of text handled at a time.
 STEP = 1 << 17
 #: Rows of a range, and the most ranges there are: so many numbers go to the driver.
-RANGE_ROWS = 1 << 13
+RANGE_ROWS = 1 << 11
 MOST_RANGES = 20_000
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _CACHE: list[np.ndarray] = []
