@@ -9,6 +9,7 @@ long run a matcher in a vectorised function.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -81,6 +82,17 @@ class Pattern:
     def exact(self) -> bool:
         return not self.distance and "*" not in self.text
 
+    @property
+    def prefix(self) -> str:
+        """What every match begins with."""
+        return "" if self.distance else self.text.partition("*")[0]
+
+    def pushed(self, term: Column) -> Column | None:
+        """A predicate that every match meets and that a Parquet scan can use; None if there is none."""
+        if self.exact:
+            return term == F.lit(self.text)
+        return term.startswith(self.prefix) if self.prefix else None
+
     @property
     def regex(self) -> str | None:
         """A regular expression for the whole word, None where it would be too long."""
@@ -101,15 +113,18 @@ class Pattern:
             return term == F.lit(self.text)
         if not self.distance and "*" not in self.text[:-1]:
             return term.startswith(self.text[:-1])
-        if self.regex:
-            return term.rlike(self.regex)
         text, distance = self.text, self.distance
+        if self.regex and not distance:
+            return term.startswith(self.prefix) & term.rlike(self.regex) if self.prefix else term.rlike(self.regex)
+        near = F.length(term).between(len(text) - distance, len(text) + distance)  # an edit changes the length by one at most
+        if self.regex:
+            return near & term.rlike(self.regex)
 
         @F.pandas_udf(T.BooleanType())
         def match(words: pd.Series) -> pd.Series:
             return words.map(lambda w: within(text, distance, w))
 
-        return match(term)
+        return near & match(term)
 
 
 class TokenSet:
@@ -122,7 +137,8 @@ class TokenSet:
         return iter(self.words)
 
     def __contains__(self, word: str) -> bool:
-        return word in self.words
+        at = bisect_left(self.words, word)
+        return at < len(self.words) and self.words[at] == word
 
     def any(self) -> bool:
         return bool(self.words)

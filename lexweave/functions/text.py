@@ -31,7 +31,7 @@ TOKENS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.Str
 
 
 def as_text(value: Column, kind: T.DataType) -> Column:
-    """A field value as text: dates as 'Tue Jan 01 2013 12:00:00 GMT+0000', arrays one token an element (see ``tokens``)."""
+    """A field value as text: dates as 'Tue Jan 01 2013 12:00:00 GMT+0000', all else as Spark casts it. Arrays aren't text: see ``array_tokens``."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         ts = value.cast("timestamp")
         return F.concat(F.date_format(ts, "EEE MMM dd yyyy HH:mm:ss"), F.lit(" GMT"), F.replace(F.date_format(ts, "xxx"), F.lit(":"), F.lit("")))

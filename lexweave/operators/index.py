@@ -7,15 +7,21 @@ terms(term, df, idf, term_index)
 postings(term, field, doc_ref, tf, weight, metadata): a posting is also an
     entry of its document's field vector, so scoring needs no further join
 
-Two shuffles make the postings: tokens to term frequencies, combined before the
-shuffle, and term statistics. Field statistics have a row a field and are broadcast.
+Tokens are shuffled once, by document and field: term frequencies, lengths and
+boosts need no other shuffle (stemming runs in Python workers, behind which Spark
+forgets a partitioning, so it comes before). The term statistics and
+the join of the postings with them go by term. Field statistics have a row a
+field and are broadcast. All tables come from the counted terms; ``cache``
+and stores keep these while they are read (``holding``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,13 +75,33 @@ class IndexTables:
     postings: DataFrame
     fields: list[str]
     search_pipeline: Pipeline = field(default_factory=searching)
+    #: What the tables are computed from, if they are.
+    counted: DataFrame | None = None
+    #: Whether the tables are read from files, so that looking into the vocabulary beforehand is cheap.
+    stored: bool = False
+
+    @contextmanager
+    def holding(self) -> Iterator[IndexTables]:
+        """Counted terms are computed once while several tables are written."""
+        held = self.counted is not None and self.counted.storageLevel == StorageLevel.NONE
+        if held:
+            self.counted.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield self
+        finally:
+            if held:
+                self.counted.unpersist()
 
     def cache(self) -> IndexTables:
+        if self.counted is not None:
+            self.counted.persist(StorageLevel.MEMORY_AND_DISK)
         for t in (self.docs, self.field_lengths, self.field_stats, self.terms, self.postings):
             t.cache()
         return self
 
     def unpersist(self) -> None:
+        if self.counted is not None:
+            self.counted.unpersist()
         for t in (self.docs, self.field_lengths, self.field_stats, self.terms, self.postings):
             t.unpersist()
 
@@ -90,19 +116,24 @@ class IndexTables:
 
 
 def documents(df: DataFrame, ref: str, fields: Sequence[FieldSpec], boost: Column | None = None, order: Column | None = None) -> DataFrame:
-    """doc_ref, doc_order, boost and one text column a field (f0, f1, ...)."""
+    """doc_ref, doc_order, boost, one text column a field (f0, f1, ...), and the tokens (t0, t1, ...) of fields that are arrays, whose text is empty."""
     values = []
     for i, f in enumerate(fields):
         value = f.value if f.value is not None else F.col(f.name)
         kind = df.select(value.alias("v")).schema[0].dataType
-        values.append(X.as_text(value, kind).alias(f"f{i}"))
+        if isinstance(kind, T.ArrayType):
+            values += [F.when(value.isNotNull(), F.lit("")).alias(f"f{i}"), X.array_tokens(value).alias(f"t{i}")]
+        else:
+            values.append(X.as_text(value, kind).alias(f"f{i}"))
     return df.select(F.col(ref).cast("string").alias("doc_ref"), (order if order is not None else F.monotonically_increasing_id()).alias("doc_order"), (F.lit(1.0) if boost is None else F.coalesce(boost.cast("double"), F.lit(1.0))).alias("boost"), *values)
 
 
 def field_texts(docs: DataFrame, fields: Sequence[FieldSpec]) -> DataFrame:
-    """A row for each (document, field) that has a value."""
-    each = F.array(*(F.struct(F.lit(f.name).alias("field"), F.lit(i).alias("ordinal"), F.col(f"f{i}").alias("text")) for i, f in enumerate(fields)))
-    return docs.select("doc_ref", "doc_order", F.explode(each).alias("x")).select("doc_ref", "doc_order", "x.*").where("text IS NOT NULL")
+    """A row for each (document, field) that has a value; with array fields, items are their tokens."""
+    arrays = any(c.startswith("t") for c in docs.columns)
+    items = [F.col(f"t{i}") if f"t{i}" in docs.columns else F.lit(None).cast("array<string>") for i in range(len(fields))]
+    each = F.array(*(F.struct(F.lit(f.name).alias("field"), F.lit(i).alias("ordinal"), F.col(f"f{i}").alias("text"), *([items[i].alias("items")] if arrays else [])) for i, f in enumerate(fields)))
+    return docs.select("doc_ref", "doc_order", "boost", F.explode(each).alias("x")).select("doc_ref", "doc_order", "boost", "x.*").where("text IS NOT NULL")
 
 
 def tokenized(texts: DataFrame, separator: str = X.SEPARATOR, tokenizer: Tokenizer | None = None, places: bool = False) -> DataFrame:
@@ -112,8 +143,14 @@ def tokenized(texts: DataFrame, separator: str = X.SEPARATOR, tokenizer: Tokeniz
     """
     if tokenizer is None:
         tokenizer = X.placed_tokens(separator) if places else lambda c: X.tokens(c, separator)
-    keys = [c for c in texts.columns if c != "text"]
-    out = texts.select(*keys, F.posexplode(tokenizer(F.col("text"))).alias("token_index", "token"))
+    keys = [c for c in texts.columns if c not in ("text", "items")]
+    found = tokenizer(F.col("text"))
+    if "items" in texts.columns:
+        placed = isinstance(texts.select(found.alias("t")).schema["t"].dataType.elementType, T.StructType)
+        none = F.lit(None).cast("int")
+        items = F.transform("items", lambda t: F.struct(t.alias("token"), none.alias("start"), none.alias("length"))) if placed else F.col("items")
+        found = F.when(F.col("items").isNotNull(), items).otherwise(found)
+    out = texts.select(*keys, F.posexplode(found).alias("token_index", "token"))
     if isinstance(out.schema["token"].dataType, T.StructType):
         return out.select(*keys, "token_index", F.col("token.token").alias("token"), F.col("token.start").alias("start"), F.col("token.length").alias("length"))
     return out.select(*keys, "token_index", "token", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"))
@@ -177,28 +214,25 @@ def build_index(
     extra = [c for c in tokens.columns if c not in before]
     kept = _metadata(metadata, extra)
     seen = F.min(F.struct("doc_order", "ordinal", "token_index")).alias("first_seen")
-    counted = tokens.groupBy("doc_ref", "field", F.col("token").alias("term")).agg(F.count("*").cast("int").alias("tf"), seen, *kept)
-    lengths = texts.select("doc_ref", "field").join(counted.groupBy("doc_ref", "field").agg(F.sum("tf").alias("length")), ["doc_ref", "field"], "left").withColumn("length", F.coalesce("length", F.lit(0)).cast("long"))
+    counted = tokens.repartition("doc_ref", "field").groupBy("doc_ref", "field", F.col("token").alias("term")).agg(F.count("*").cast("int").alias("tf"), seen, F.first("boost").alias("doc_boost"), *kept)
+    counted = counted.withColumn("length", F.sum("tf").over(Window.partitionBy("doc_ref", "field")))
+    found = counted.groupBy("doc_ref", "field").agg(F.first("length").alias("length"))
+    lengths = texts.select("doc_ref", "field").join(found, ["doc_ref", "field"], "left").withColumn("length", F.coalesce("length", F.lit(0)).cast("long"))
     declared = _rows(df, [(f.name, i, float(f.boost)) for i, f in enumerate(specs)], "field string, ordinal int, boost double")
     stats = declared.join(lengths.groupBy("field").agg(F.avg("length").alias("avg_length")), "field", "left").select("field", "ordinal", "boost", "avg_length")
     n = docs.agg(F.countDistinct("doc_ref").cast("double").alias("n")).scalar()
     terms = counted.groupBy("term").agg(F.count("*").alias("df"), F.min("first_seen").alias("first_seen")).select("term", "df", idf(F.col("df"), n).alias("idf"), "first_seen")
     named = F.struct(*(F.col(c) for c in metadata if c in [*("position", "index", "fieldName"), *extra])) if kept else F.lit(None).cast("string")
-    weighed = (
-        counted.join(terms.select("term", "idf"), "term")
-        .join(lengths, ["doc_ref", "field"])
-        .join(F.broadcast(stats), "field")
-        .join(docs.select("doc_ref", F.col("boost").alias("doc_boost")), "doc_ref")
-    )
+    weighed = counted.join(F.broadcast(stats), "field").join(terms.select("term", "idf"), "term")
     weight = bm25(F.col("tf"), F.col("idf"), F.col("length"), F.col("avg_length"), F.col("boost") * F.col("doc_boost"), k1, b)
     postings = weighed.select("term", "field", "doc_ref", "tf", weight.alias("weight"), named.alias("metadata"))
-    return IndexTables(docs.select("doc_ref", "doc_order", "boost"), lengths, stats, terms, postings, [f.name for f in specs], search_pipeline or searching())
+    return IndexTables(docs.select("doc_ref", "doc_order", "boost"), lengths, stats, terms, postings, [f.name for f in specs], search_pipeline or searching(), counted)
 
 
 def with_term_ids(tables: IndexTables) -> IndexTables:
     """Dense term ids by first appearance. A total order has no other plan than one task over the vocabulary, so only exports ask for it."""
     ranked = tables.terms.withColumn("term_index", (F.row_number().over(Window.orderBy("first_seen")) - 1).cast("int"))
-    return IndexTables(tables.docs, tables.field_lengths, tables.field_stats, ranked, tables.postings, tables.fields, tables.search_pipeline)
+    return replace(tables, terms=ranked)
 
 
 def _rows(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lexweave.operators.index import FieldSpec, build_index
 from lexweave.plans.search import Index
 
+#: The documents whose scores and interchange text are given.
 GREEN = [
     ("a", "Mr. Green kills Colonel Mustard", "Mr. Green killed Colonel Mustard in the study with the candlestick. Mr. Green is not a very nice fellow.", 19),
     ("b", "Plumb waters plant", "Professor Plumb has a green plant in his study", 9),

@@ -1,8 +1,11 @@
+import time
+
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from lexweave.operators.index import FieldSpec, build_index
-from lexweave.operators.pipeline import Pipeline
+from lexweave.operators.pipeline import TRIMMER, Pipeline
 from lexweave.plans.query import Presence, Wildcard
 from lexweave.plans.search import Index
 from tests.corpus import GREEN, green_index, results
@@ -147,3 +150,48 @@ def test_b_is_clamped(spark):
     df = spark.createDataFrame(GREEN, "id string, title string, body string, n int")
     low, zero = (sorted(map(tuple, build_index(df, "id", ["body"], b=b).postings.select("term", "doc_ref", "weight").collect())) for b in (-3, 0))
     assert low == zero
+
+
+def test_array_fields_keep_their_elements(spark):
+    rows = [("a", ["New York", "San-Jose", None, ""], "New York"), ("b", [], "San-Jose"), ("c", None, None)]
+    df = spark.createDataFrame(rows, "id string, tags array<string>, body string")
+    tables = build_index(df, "id", ["tags", "body"], pipeline=Pipeline(TRIMMER), search_pipeline=Pipeline())
+    got = {(r["term"], r["field"], r["doc_ref"]) for r in tables.postings.collect()}
+    assert got == {("New York", "tags", "a"), ("San-Jose", "tags", "a"), ("new", "body", "a"), ("york", "body", "a"), ("san", "body", "b"), ("jose", "body", "b")}
+    assert {(r["doc_ref"], r["field"]): r["length"] for r in tables.field_lengths.collect()} == {("a", "tags"): 2, ("b", "tags"): 0, ("a", "body"): 2, ("b", "body"): 2}
+    placed = build_index(df, "id", ["tags", "body"], pipeline=Pipeline(TRIMMER), search_pipeline=Pipeline(), metadata=["position"])
+    assert {r["term"]: [tuple(p) for p in r["metadata"]["position"]] for r in placed.postings.where("doc_ref = 'a'").collect()} == {"New York": [(None, None)], "San-Jose": [(None, None)], "new": [(0, 3)], "york": [(4, 4)]}
+
+
+def test_a_search_can_be_cancelled(spark):
+    index = green_index(spark)
+    failed = []
+
+    def run():
+        with index.cancellable("late"):
+            try:
+                slow = F.udf(lambda x: (time.sleep(40), x)[1], "string")
+                index.search("plant").select(slow("doc_ref")).collect()
+            except Exception as e:
+                failed.append(str(e))
+
+    thread = InheritableThread(target=run)
+    began = time.time()
+    thread.start()
+    while thread.is_alive() and time.time() - began < 30:
+        time.sleep(1)
+        index.cancel("late")
+    thread.join(60)
+    assert len(failed) == 1 and "cancel" in failed[0].lower() and time.time() - began < 35
+    with index.cancellable("idle"):
+        assert results(index.search("plant"))
+
+
+def test_tokens_are_shuffled_once(spark):
+    tables = green_index(spark).tables
+    plan = tables.counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc_ref" in plan and "Window" in plan
+    with tables.holding() as held:
+        assert held.counted.storageLevel.useDisk
+        assert "InMemoryTableScan" in held.field_lengths._jdf.queryExecution().executedPlan().toString()
+    assert not tables.counted.storageLevel.useDisk

@@ -1,13 +1,16 @@
 import io
 import json
+import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave.operators.index import FieldSpec, build_index, field_ref, parse_field_ref
+from lexweave.operators.pipeline import Pipeline, Step
 from lexweave.plans.search import Index
 from lexweave.sources.json_index import from_json, load_json, save_json, save_json_lines, to_json
-from lexweave.sources.store import IndexStore, open_index, save_index
+from lexweave.sources.store import TABLES, IndexStore, open_index, save_index
 from tests.corpus import GREEN, SCRIPT, green_index, results
 
 #: Fixed value: the interchange text of the four-document corpus.
@@ -89,17 +92,82 @@ def test_store_entries(spark, tmp_path):
     assert store.vector_keys("title").count() == 3 and store.vector_keys().count() == 6
     store.put_vector("title", "b", spark.createDataFrame([("tree", 2, 0.5)], "term string, tf int, weight double"))
     assert [(r["term"], r["tf"]) for r in store.vector("title", "b").collect()] == [("tree", 2)]
+    assert results(store.open().search("tree")) == [("b", 0.5)]
     assert store.remove_vector("title", "b") and not store.remove_vector("title", "b")
     store.put_entry("zebra", spark.createDataFrame([("body", "a", 1, 0.25)], "field string, doc_ref string, tf int, weight double"), 1.5)
     assert [(r["doc_ref"], r["weight"]) for r in store.entry("zebra").collect()] == [("a", 0.25)]
     assert [r["term"] for r in store.vocabulary("ze").collect()] == ["zebra"]
     assert results(store.open().search("zebra")) == [("a", 0.25)]
+    assert [r["weight"] for r in store.vector("body", "a").where("term = 'zebra'").collect()] == [0.25]
+    store.put_entry("yak", spark.createDataFrame([("body", "a", 1, 0.5), ("body", "b", 1, 0.5)], "field string, doc_ref string, tf int, weight double"))
+    (r,) = store.table("terms").where("term = 'yak'").collect()
+    assert r["df"] == 2 and r["idf"] == pytest.approx(math.log(1 + 1.5 / 2.5))
 
 
-def test_exact_terms_reach_the_scan(spark, tmp_path):
+def test_changes_take_effect_at_once_or_not_at_all(spark, tmp_path, monkeypatch):
+    store = IndexStore(spark, str(tmp_path / "s"))
+    store.save(green_index(spark).tables)
+    before = {t: store.table(t).count() for t in (*TABLES, "vectors")}
+    old = store.open()
+    original = IndexStore._write
+
+    def failing(self, table, df):
+        if table == "field_lengths":
+            raise OSError("disk full")
+        return original(self, table, df)
+
+    monkeypatch.setattr(IndexStore, "_write", failing)
+    with pytest.raises(OSError):
+        store.remove_vector("title", "b")
+    monkeypatch.undo()
+    assert {t: store.table(t).count() for t in (*TABLES, "vectors")} == before
+    assert store.remove_vector("title", "b") and store.table("postings").count() < before["postings"]
+    assert old.tables.postings.count() == before["postings"], "readers of the old state aren't disturbed"
+    assert store.vacuum() > 0 and store.vacuum() == 0
+    assert results(store.open().search("plant")) and store.open().tables.postings.count() == store.table("vectors").count()
+
+
+def scans(df):
+    """PushedFilters of every scan in a plan, by the columns it reads."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [(re.search(r"ReadSchema: struct<([^>]*)>", x)[1], re.search(r"PushedFilters: \[(.*?)\], Read", x)[1]) for x in plan.splitlines() if "FileScan parquet" in x and "term:string" in x]
+
+
+@pytest.mark.parametrize(
+    ("query", "filters", "least"),
+    [
+        ("plant", "EqualTo(term,plant)", 2), ("plant green", "In(term, [green,plant])", 2), ("pl*", "StringStartsWith(term,pl)", 2), ("green pl*t", "Or(EqualTo(term,green),StringStartsWith(term,pl))", 2),
+        ("*ant", "EqualTo(term,plant)", 1), ("plont~1 *een", "In(term, [green,plant])", 1), ("zzz*", "StringStartsWith(term,zzz)", 2),
+    ],
+)
+def test_searches_read_the_terms_they_need(spark, tmp_path_factory, query, filters, least):
+    path = str(tmp_path_factory.getbasetemp() / "pruned")
+    store = IndexStore(spark, path)
+    if not store._versions("meta"):
+        store.save(green_index(spark).tables)
+    df = store.open().search(query)
+    found = scans(df)
+    assert len(found) >= least and all(filters in f for _, f in found), found
+    assert any("weight" in c for c, _ in found)
+    assert results(df) == results(green_index(spark).search(query))
+
+
+def test_single_entries_reach_the_scan(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "p"))
     store.save(green_index(spark).tables)
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,plant)]" in store.entry("plant")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(field,title), EqualTo(doc_ref,b)" in store.vector("title", "b")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metadata_of_any_type_is_stored(spark, tmp_path):
+    kind = "struct<page:int,box:array<double>>"
+    note = Step("note", None, lambda t: [t], frame=lambda df: df.withColumn("note", F.struct(F.col("token_index").alias("page"), F.array(F.lit(0.5)).alias("box"))))
+    df = spark.createDataFrame([("x", "green plant")], "id string, body string")
+    save_index(Index(build_index(df, "id", ["body"], pipeline=Pipeline(note), search_pipeline=Pipeline(), metadata=["note"])), str(tmp_path / "m"))
+    again = open_index(spark, str(tmp_path / "m"))
+    assert again.tables.postings.schema["metadata"].dataType.simpleString() == f"struct<note:array<{kind}>>"
+    (r,) = again.search("plant", match_data=True).collect()
+    assert r["match_data"]["plant"]["body"]["note"][0].asDict() == {"page": 1, "box": [0.5]}
 
 
 def test_field_references():

@@ -42,15 +42,15 @@ def test_array_tokens(spark):
     assert spark.sql("SELECT array('Foo', null, 'b c') AS a").select(X.array_tokens(F.col("a")).alias("x")).first()["x"] == ["Foo", "", "b c"]
 
 
-@pytest.mark.parametrize(("token", "expected"), [("hello.", "hello"), ("it's", "it's"), ("james'", "james"), ("stop!'", "stop"), ("first,'", "first"), ("[tag]'", "tag"), ("__Proto__'", "__Proto__"), ("...", "")])
+@pytest.mark.parametrize(("token", "expected"), [("«año»", "año"), ("l'été", "l'été"), ("¿qué?!", "qué"), ("(3.14)", "3.14"), ("٣٤%", "٣٤"), ("_x_;", "_x_"), ("𝒳𝒴…", "𝒳𝒴"), ("👍ok👍", "ok"), ("—", "")])
 def test_trim(spark, token, expected):
     assert X.trim_text(token) == expected
     assert spark.range(1).select(X.trim(F.lit(token)).alias("x")).first()["x"] == expected
 
 
 def test_stop_words(spark):
-    rows = spark.createDataFrame([(w,) for w in "the and but than when The AND interesting words pass through".split()], "w string")
-    assert [r["w"] for r in rows.where(~X.is_stop_word(F.col("w"))).collect()] == ["interesting", "words", "pass", "through"]
+    rows = spark.createDataFrame([(w,) for w in "Would yet YOU a Äpfel 7 thee across river-bank".split()], "w string")
+    assert [r["w"] for r in rows.where(~X.is_stop_word(F.col("w"))).collect()] == ["Äpfel", "7", "thee", "river-bank"]
     assert len(X.STOP_WORDS) == 119
 
 
