@@ -71,3 +71,9 @@ def similarity(q: Column, d: Column) -> Column:
 def flat(pairs: Column) -> Column:
     """[index, value, index, value, ...] of an array of (index, value)."""
     return F.flatten(F.transform(pairs, lambda p: F.array(p["index"].cast("double"), p["value"])))
+
+
+def upserted(a: Column, b: Column) -> Column:
+    """Two arrays of (index, value) as one by index, values of an index that both have added."""
+    summed = F.map_zip_with(F.map_from_entries(a), F.map_from_entries(b), lambda _, x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
+    return F.transform(F.array_sort(F.map_entries(summed)), lambda e: F.struct(e["key"].alias("index"), e["value"].alias("value")))

@@ -18,7 +18,7 @@ from lexweave.functions import vectors as V
 from lexweave.functions.patterns import Pattern
 from lexweave.functions.stemmer import STEP2, STEP3, STEP4, stem, stem_column
 from lexweave.operators.index import FieldSpec, build_index, documents, field_texts, tokenized, with_term_ids
-from lexweave.operators.pipeline import STOP_WORDS, TRIMMER, Pipeline
+from lexweave.operators.pipeline import STOP_WORDS, TRIMMER, Pipeline, expand
 from lexweave.operators.sets import KeySet
 from lexweave.plans.query import Presence, Query, Wildcard
 from lexweave.plans.search import Index, search_many
@@ -445,6 +445,91 @@ def field_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("field", "doc_ref", F.size("vector").cast("long").alias("entries"), F.round(total, 6).alias("total"))
 
 
+@query("SELECT vec_id, CAST(2 * len(embedding) AS BIGINT) AS entries, CAST(len(embedding) * (len(embedding) - 1) / 2 AS DOUBLE) + round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
+def vector_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = F.transform("embedding", lambda v, i: F.struct(i.alias("index"), v.cast("double").alias("value")))
+    flat = table(spark, sf_dir, "embeddings").select("vec_id", V.flat(pairs).alias("flat"))
+    even, odd = F.filter("flat", lambda _, i: i % 2 == 0), F.filter("flat", lambda _, i: i % 2 == 1)
+    index, value = (F.aggregate(x, F.lit(0.0), lambda a, v: a + v) for x in (even, odd))
+    return flat.select("vec_id", F.size("flat").cast("long").alias("entries"), (index + F.round(value, 4)).alias("total"))
+
+
+@query("SELECT k, i, round(sum(v), 2) AS v FROM (SELECT l_orderkey AS k, l_linenumber AS i, CAST(l_quantity AS DOUBLE) AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber + 2, CAST(l_tax AS DOUBLE) FROM lineitem) GROUP BY k, i")
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (F.collect_list(F.struct((F.col("l_linenumber") + n).alias("index"), F.col(c).cast("double").alias("value"))).alias(c) for n, c in ((0, "l_quantity"), (2, "l_tax")))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("l_quantity"), F.sum("l_tax").alias("l_tax"))
+    rows = lines.groupBy(F.col("l_orderkey").alias("k")).agg(a, b)
+    return rows.select("k", F.explode(V.upserted(F.col("l_quantity"), F.col("l_tax"))).alias("e")).select("k", F.col("e.index").alias("i"), F.round("e.value", 2).alias("v"))
+
+
+_FIRST = " UNION ALL ".join(f"SELECT p_partkey AS o, {i} AS f, {f} AS text FROM part" for i, f in enumerate(_ALL))
+
+
+@query(
+    f"""WITH r AS (SELECT o, f, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT o, f, list_filter(regexp_split_to_array(lower(text), '{_SEP}'), lambda x: x <> '') AS p FROM ({_FIRST}))),
+k AS (SELECT o * 1000 + f * 100 + i AS place, regexp_replace(p[i], '{_EDGE}', '', 'g') AS term FROM r)
+SELECT term, CAST(row_number() OVER (ORDER BY min(place)) - 1 AS INTEGER) AS term_index FROM k WHERE term <> '' AND lower(term) NOT IN ({_STOPS}) GROUP BY term"""
+)
+def term_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_term_ids(part_index(spark, sf_dir, order=F.col("p_partkey")).tables).terms.select("term", "term_index")
+
+
+# -- analysis of one's own --------------------------------------------------
+
+
+def _token_counts(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("doc_ref", "token").agg(F.count("*").alias("n"))
+
+
+@query(_SQL["stop_word_filter"])
+def pipeline_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _token_counts(Pipeline.load(["trimmer", "stopWordFilter"]).run(document_tokens(spark, sf_dir)))
+
+
+@query(f"WITH {_DOCS}, e AS (SELECT doc_ref, unnest([term, left(term, 2)]) AS token FROM t WHERE term <> '') SELECT doc_ref, token, count(*) AS n FROM e GROUP BY ALL")
+def pipeline_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step that gives several tokens for one, put behind the trimmer."""
+    short = expand("short", lambda c: F.array(c, F.left(c, F.lit(2))), lambda t: [t, t[:2]])
+    return _token_counts(Pipeline(TRIMMER).after(TRIMMER, short).run(document_tokens(spark, sf_dir)))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_ref, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[.,]')) AS token FROM documents) WHERE token <> '' GROUP BY ALL")
+def tokenize_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [FieldSpec("text")]
+    texts = field_texts(documents(table(spark, sf_dir, "documents"), "doc_id", fields), fields)
+    return _token_counts(tokenized(texts, separator="[.,]"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_ref, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS token FROM documents) GROUP BY ALL")
+def tokenize_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [FieldSpec("text")]
+    texts = field_texts(documents(table(spark, sf_dir, "documents"), "doc_id", fields), fields)
+    return _token_counts(tokenized(texts, tokenizer=lambda c: F.regexp_extract_all(c, F.lit("[A-Z][a-z]+"), F.lit(0))))
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS doc_ref, regexp_replace(v, '{_EDGE}', '', 'g') AS term, CAST(count(*) AS INTEGER) AS tf FROM (SELECT p_partkey, unnest([p_type, p_brand, p_type]) AS v FROM part) GROUP BY ALL")
+def array_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = FieldSpec("tags", value=F.array("p_type", "p_brand", "p_type"))
+    index = build_index(table(spark, sf_dir, "part"), "p_partkey", [tags], pipeline=Pipeline(TRIMMER), search_pipeline=Pipeline())
+    return index.postings.select("doc_ref", "term", "tf")
+
+
+@query(f"WITH {_PART} SELECT doc_ref, term, tf FROM postings WHERE field = 'p_name'")
+def nested_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.struct(F.struct("p_name").alias("inner")).alias("outer"))
+    index = build_index(parts, "p_partkey", [FieldSpec("name", value=F.col("outer.inner.p_name"))], pipeline=Pipeline(*PLAIN), search_pipeline=Pipeline())
+    return index.postings.select("doc_ref", "term", "tf")
+
+
+@query("SELECT r_name AS name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT n_name FROM nation")
+def set_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The universal set: neutral where sets are intersected, absorbing where they are united."""
+    region, nation = (table(spark, sf_dir, t) for t in ("region", "nation"))
+    used = KeySet.of(nation, "n_regionkey")
+    some = KeySet.complete().intersect(used).contains(region, "r_regionkey").select(F.col("r_name").alias("name"))
+    return some.unionByName(used.union(KeySet.complete()).contains(nation, "n_regionkey").select(F.col("n_name").alias("name")))
+
+
 # -- storing ----------------------------------------------------------------
 
 
