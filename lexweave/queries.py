@@ -22,7 +22,7 @@ from lexweave.operators.pipeline import STOP_WORDS, TRIMMER, Pipeline, expand
 from lexweave.operators.sets import KeySet
 from lexweave.plans.query import Presence, Query, Wildcard
 from lexweave.plans.search import Index, search_many
-from lexweave.sources.json_index import from_json, to_json
+from lexweave.sources.json_index import from_json, load_json_lines, save_json_lines, to_json
 from lexweave.sources.store import IndexStore
 
 PLAIN = (TRIMMER, STOP_WORDS)
@@ -556,6 +556,13 @@ def index_roundtrip_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.tables.postings.select("term", "field", "doc_ref", F.round("weight", 3).alias("weight"))
 
 
+@query(_SQL["bm25_weights_fields"])
+def index_roundtrip_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark)
+    save_json_lines(part_index(spark, sf_dir).tables, path)
+    return load_json_lines(spark, path).tables.postings.select("term", "field", "doc_ref", F.round("weight", 3).alias("weight"))
+
+
 @query(_search_sql(_PART, [(_is("gizmo"), _ALL, 1, "optional"), ("starts_with(term, 's')", _ALL, 2, "optional"), (_is("large"), _ALL, 1, "prohibited")]))
 def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = IndexStore(spark, _scratch(spark))

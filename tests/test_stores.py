@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexweave.operators.index import FieldSpec, build_index, field_ref, parse_field_ref
 from lexweave.operators.pipeline import Pipeline, Step
 from lexweave.plans.search import Index
-from lexweave.sources.json_index import from_json, load_json, save_json, save_json_lines, to_json
+from lexweave.sources.json_index import from_json, load_json, load_json_lines, save_json, save_json_lines, to_json
 from lexweave.sources.store import TABLES, IndexStore, open_index, save_index
 from tests.corpus import GREEN, SCRIPT, green_index, results
 
@@ -74,9 +74,16 @@ def test_parquet_bundle(spark, tmp_path):
     assert results(again.search("+plant green -office")) == [("b", 2.187081)]
     save_index(green_index(spark, 1.0, 1.0), path)
     assert results(open_index(spark, path).search("professor")) != [("b", 1.648), ("c", 1.388)]
-    save_json_lines(again.tables, str(tmp_path / "lines"))
-    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "lines")).collect()]
-    assert {x["term"] for x in lines} >= {"plant", "green"}
+
+
+def test_json_lines_round_trip(spark, tmp_path):
+    index = green_index(spark, metadata=["position"])
+    save_json_lines(index.tables, str(tmp_path / "lines"))
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "lines" / "postings")).collect()]
+    assert len(lines) == index.tables.postings.count() and {x["term"] for x in lines} >= {"plant", "green"}
+    again = load_json_lines(spark, str(tmp_path / "lines"))
+    assert results(again.search("+plant green -office")) == [("b", 2.187081)]
+    assert to_json(again) == to_json(index)
 
 
 def test_store_entries(spark, tmp_path):
