@@ -338,8 +338,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         own = vocabulary.filter(pa.compute.equal(vocabulary["label"], c))
         if not len(own):
             return None
-        order = np.argsort(np.array(own["word"].to_pylist(), object), kind="stable")
-        classes.append(counts_by_order(own["word"].take(order).to_pylist(), own["n"].to_numpy()[order].astype(float)))
+        classes.append(counts_by_order(own["word"].to_pylist(), own["n"].to_numpy().astype(float)))
+    del vocabulary, own
     model, alone = KneserNey.fit(classes, list(words))
     if len(pairs):
         unsigned = [pairs[c].to_numpy().view(np.uint64) for c in ("pair", "before")]

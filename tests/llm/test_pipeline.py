@@ -1,10 +1,14 @@
 import os
+import zlib
+from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from lexweave.llm import langid, ngram_join, quality, queries
+from lexweave.llm import langid, ngram_join, packing, quality, queries
+from tests.llm import test_ngram_join, test_quality
 from tests.llm.odd import docs, none
 
 DATA = "/root/testdata/sf0.001"
@@ -37,9 +41,40 @@ def test_stages_agree_with_their_operators(spark):
     assert firsts == {r["doc_id"] for r in ngram_join.op2_near_duplicates(spark, DATA).collect() if r["doc_id"] == r["component_id"]}
 
 
-@needs_data
-def test_run(spark):
-    assert corpus_pipeline.run(spark, DATA).count() > 0
+def test_run_equals_brute_force(spark, tmp_path):
+    """Language by the query's judgement (held against brute force in its own tests), then draw, links and packing by definition."""
+    rng = np.random.default_rng(12)
+    words = {"en": "the and of that with this for are was not".split(), "de": "der und die nicht mit das ist war ein zu".split()}
+    rows = []
+    for i in range(160):
+        lang = "en" if i % 3 else "de"
+        own = [*words[lang], *(f"{'junk' if i % 5 == 0 else 'fine'}{lang}{k}" for k in range(12))]
+        rows.append((i, " ".join(rng.choice(own, int(rng.integers(8, 60)))), lang))
+    rows += [(200 + i, rows[i][1].upper() + (" more" if i % 2 else ""), rows[i][2]) for i in range(0, 60, 4)]
+    rows += [(300, None, "en"), (301, "12 34", "en"), (302, " ".join(words["en"] + words["de"]), None), (303, " ".join(["the and of"] * 4000), "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i % 5 != 0)) for i in range(0, 160, 2)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    judged = {r["doc_id"] for r in langid.op4_language_id(spark, str(tmp_path)).collect() if r["lang_pred"] != "und" and not r["ambiguous"]}
+    texts = [(i, t) for i, t, _ in rows if i in judged]
+    learn = [x for x in labels if zlib.crc32(str(x[0]).encode()) % 5]
+    drawn, _ = test_quality.brute(texts, learn, sum(y for _, y in learn) / len(learn))
+    texts = [x for x in texts if x[0] in drawn]
+    first = {i for i, _, component, _ in test_ngram_join.brute(texts) if i == component}
+    assert len(rows) > len(judged) > len(drawn) > len(first) > 40
+    size = {i: len(t.split()) for i, t in texts if i in first}
+    bins = defaultdict(list)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for r in got:
+        bins[r["bin_id"], r["bin_capacity"]].append((r["bin_offset"], r["n_tokens"]))
+        size[r["doc_id"]] -= r["n_tokens"]
+    assert {r["doc_id"] for r in got} == first and set(size.values()) == {0}
+    for (_, capacity), held in bins.items():
+        end = 0
+        for offset, n in sorted(held):
+            assert offset == end
+            end += n
+        assert capacity == min(c for c in packing.LENGTHS if c >= end)
 
 
 def test_odd_tables(spark, tmp_path):

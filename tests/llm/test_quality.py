@@ -1,4 +1,6 @@
 import math
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -37,6 +39,47 @@ def test_weight_equals_brute_force(spark):
     assert np.bincount(doc, ratio[buckets])[3] == pytest.approx(want, rel=1e-5)
 
 
+def brute(rows, labels, keep):
+    """Kept ids and log weights: n-gram models, importance weights and the Gumbel draw by definition."""
+    known = {}
+
+    def grams(text):
+        words = (text or "").split()
+        for g in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
+            if g not in known:
+                known[g] = int(quality.hashed_ngrams([g])[0][-1])
+        return [known[g] for g in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]]
+
+    good = {i for i, y in labels if y == 1}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    size, n_raw, n_target = 1 << quality.BITS, sum(raw.values()), sum(target.values())
+
+    def ratio(g):
+        q = (raw[g] + 1) / (n_raw + size)
+        return math.log((target[g] + 1000 * q) / (n_target + 1000) / q)
+
+    weight = {i: sum(map(ratio, grams(t))) if n_target else 0.0 for i, t in rows}
+    noise = dict(zip([i for i, _ in rows], quality.gumbel(np.array([i for i, _ in rows]), 1), strict=True))
+    key = {i: weight[i] / (len(grams(t)) + quality.SHORT) * quality.NOMINAL + noise[i] for i, t in rows}
+    return set(sorted(key, key=key.get, reverse=True)[: math.ceil(keep * len(rows))]), weight
+
+
+def test_query_equals_brute_force(spark, corpus, tmp_path):
+    rows = [(r[0], r[1]) for r in corpus[0].collect()] + [(900, None), (901, ""), (902, "good1")]
+    labels = [(r[0], r[1]) for r in corpus[1].collect()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    learn = [x for x in labels if zlib.crc32(str(x[0]).encode()) % 5]
+    kept, weight = brute(rows, learn, sum(y for _, y in learn) / len(learn))
+    got = quality.op10_quality(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got if r["selected"]} == kept and len(got) == len(rows)
+    assert all(r["log_weight"] == pytest.approx(weight[r["doc_id"]], rel=1e-4, abs=1e-3) for r in got)
+
+
 def test_word_hashes_split_like_python():
     texts = ["", None, " x ", "a\n\nb\tc", "long-word-over-eight-bytes long-word-over-eight-bytes!", "é é"]
     w, at = quality.word_hashes(texts)
