@@ -50,7 +50,7 @@ def test_run_equals_brute_force(spark, tmp_path):
         lang = "en" if i % 3 else "de"
         own = [*words[lang], *(f"{'junk' if i % 5 == 0 else 'fine'}{lang}{k}" for k in range(12))]
         rows.append((i, " ".join(rng.choice(own, int(rng.integers(8, 60)))), lang))
-    rows += [(200 + i, rows[i][1].upper() + (" more" if i % 2 else ""), rows[i][2]) for i in range(0, 60, 4)]
+    rows += [(200 + i, rows[i][1] + (" MORE" if i % 8 else ""), rows[i][2]) for i in range(0, 60, 4)]
     rows += [(300, None, "en"), (301, "12 34", "en"), (302, " ".join(words["en"] + words["de"]), None), (303, " ".join(["the and of"] * 4000), "en")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     labels = [(i, int(i % 5 != 0)) for i in range(0, 160, 2)]
