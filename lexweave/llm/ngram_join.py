@@ -10,8 +10,12 @@ Two documents link when their sets' Jaccard similarity is at least
 2. A set of n shingles that links with another shares one of its
    n - ceil(n * percent / 100) + 1 first shingles with the other's first ones.
    Documents with equal prefixes and sizes are one group; groups that share a
-   prefix shingle, at places that leave room for enough others in common, are joined into clusters, star by star, without making pairs.
+   prefix shingle, at places that leave room for enough others in common, are paired, WINDOW at once; where more
+   share one, they hang on to one of them, star by star, without making pairs.
    Shingles that are very frequent by the table are salted.
+   A pair stays if the parity tables of the two sets, of at least a bit a shingle, differ in no more bits than linked
+   sets can. So texts that merely share passages don't grow into clusters that hold most of a large table.
+   What stays and the stars make the clusters.
 3. Of every different set in a cluster one document is loaded. Group pairs
    are filtered by size and by how many prefix shingles they share; then their members are
    expanded and every pair is verified exactly. Clusters over
@@ -46,10 +50,14 @@ from .quality import span_hashes
 WORDS = 5
 PERCENT = 75
 SKETCH_BITS = 21
+#: Frequency classes in a quarter of a power of two.
+FINE = 16
 BLOCK = 2048
 BLOCK_SHINGLES = 1_000_000
 SALT_ROWS = 1 << 16
 MOST_SALTS = 256
+#: Groups that share a prefix shingle and leave room for the next are paired one by one up to so many.
+WINDOW = 64
 #: Parts a cluster's rows are dealt to where its size is joined to them.
 SPREAD = 8
 #: Lower-cases A to Z; the white space that parts words becomes a space.
@@ -125,7 +133,7 @@ class Sets:
 
 
 def order_levels(docs: DataFrame) -> np.ndarray:
-    """Frequency class of each counter: a quarter of a power of two a class, in one byte."""
+    """Frequency class of each counter: one of FINE * 4 classes a power of two, as every counter is a sum of many shingles and a rare one differs little from a frequent one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -135,21 +143,21 @@ def order_levels(docs: DataFrame) -> np.ndarray:
         yield common.table_rows({"seen": seen}, 1 << 14)
 
     total = common.summed_tables(docs.select("text").mapInArrow(count, common.TABLE_SCHEMA), 1 << SKETCH_BITS, 1 << 14).get("seen", np.zeros(1 << SKETCH_BITS, np.int64))
-    return np.floor(np.log2(np.maximum(total, 1)) * 4).astype(np.uint8)
+    return np.floor(np.log2(np.maximum(total, 1)) * 4 * FINE).astype(np.uint16)
 
 
 def salts(level: np.ndarray, rows: int) -> np.ndarray:
-    """Parts that a counter's shingles are dealt to, by how far it is above what most counters hold."""
+    """Parts that a counter's shingles are dealt to, by how far it is above what most counters hold; ``level`` in quarters of a power of two."""
     count = 2.0 ** ((level.astype(float) + 1) / 4)
     usual = np.median(count) if level.any() else 0.0
     return np.clip(np.ceil((count - 2 * usual) / rows), 1, MOST_SALTS).astype(np.int64)
 
 
-def clusters(sets: DataFrame, level, salt_rows: int) -> DataFrame:
-    """(node, component) of groups that share a prefix shingle, at places and with sizes that leave room for enough others; ``sets``: n, gid, prefix."""
+def clusters(sets: DataFrame, classes: DataFrame, level, salt_rows: int, window: int = WINDOW) -> DataFrame:
+    """(node, component) of groups that share a prefix shingle, at places and with sizes that leave room for enough others, and that aren't told apart by their parity tables; ``sets``: n, gid, prefix, parity; ``classes``: the gid of every different set."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = salts(level.value, salt_rows)
+        salt = salts(level.value // FINE, salt_rows)
         linked: set[int] = set()
         for batch in batches:
             for at in range(0, len(batch), 4096):
@@ -174,30 +182,89 @@ def clusters(sets: DataFrame, level, salt_rows: int) -> DataFrame:
                     [pa.array(np.concatenate([token, plain[also]]).view(np.int64)), pa.array(np.concatenate([where, where[hot][also]])), pa.array(np.concatenate([gid, gid[hot][also]]))], names=["token", "at", "gid"]
                 )
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of a token come by size. While some group before accepts the size of the next, they hang on to the first; then a new star begins."""
-        token, pivot, top = None, 0, -1
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of a token come by size. Each group meets those before it that leave room for it; of more than ``window`` at once, or of a salted token, all hang on to one until none accepts the size of the next."""
+        token, live, hub, top = None, [], None, -1
         for batch in batches:
             t, at, g = (c.to_numpy() for c in batch.columns)
             if not len(t):
                 continue
             same = t[1:] == t[:-1]
             alone = ~np.append(same, True) & ~np.append(t[0] == token, same)  # its token isn't next to it; the last row may go on
-            pairs = set()
+            pairs: set[tuple[int, int]] = set()
+            stars: set[tuple[int, int]] = set()
             for k in np.flatnonzero(~alone).tolist():
-                n, i = int(at[k]) >> 32, int(at[k]) & 0xFFFFFFFF
-                if t[k] == token and PERCENT * n <= top:
-                    if g[k] != pivot:
-                        pairs.add((int(g[k]), pivot))
-                else:
-                    token, pivot, top = t[k], int(g[k]), -1
+                n, i, own = int(at[k]) >> 32, int(at[k]) & 0xFFFFFFFF, int(g[k])
+                if t[k] != token:
+                    token, live, hub = t[k], [], None
                 # sets of n and m shingles whose first common one is at place i of the first hold at most n - i in common
-                top = max(top, (100 + PERCENT) * (n - i) - PERCENT * n)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], names=["a", "b"])
+                room = (100 + PERCENT) * (n - i) - PERCENT * n
+                if hub is not None and PERCENT * n <= top:
+                    if own != hub:
+                        stars.add((own, hub))
+                    top = max(top, room)
+                    continue
+                hub = None
+                live = [x for x in live if PERCENT * n <= x[0]]
+                if any(x[2] == own for x in live):
+                    continue
+                pairs.update((min(own, x[2]), max(own, x[2])) for x in live if PERCENT * x[1] <= room)
+                live.append((room, n, own))
+                if len(live) > window or n == 0:
+                    hub, top = live[0][2], max(x[0] for x in live)
+                    stars.update((x[2], hub) for x in live[1:])
+                    live = []
+            for found, star in ((pairs, False), (stars, True)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([star] * len(found), pa.bool_())], names=["a", "b", "star"])
 
     posted = sets.where("prefix IS NOT NULL").select("n", "gid", "prefix").mapInArrow(postings, "token long, at long, gid long")
     dealt = posted.repartition(common.shuffle_width(sets.sparkSession), "token").sortWithinPartitions("token", "at", "gid")
-    return graph.components(dealt.mapInArrow(stars, "a long, b long"))
+    met = common.cut(dealt.mapInArrow(meet, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star")))
+    return graph.components(met.where("star").select("a", "b").unionByName(close(met.where("NOT star").select("a", "b"), sets, classes)))
+
+
+def close(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs of groups (a, b) that may link: bits in which their parity tables differ are elements that one set alone has. Groups of several different sets stay."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, x, y = batch.columns
+            most = (100 - PERCENT) * (n.to_numpy() + m.to_numpy()) // (100 + PERCENT)  # elements that only one of two linked sets has
+            keep = differing(x.to_pylist(), y.to_pylist()) <= most
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
+
+    told = sets.where("prefix IS NOT NULL").groupBy("gid").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    single = classes.groupBy("gid").agg(F.count("*").alias("kinds"))
+    tables = told.join(single, "gid").select("gid", "n", F.when(F.col("kinds") == 1, F.col("parity")).alias("parity"))
+    first, second = tables.toDF("a", "n", "x"), tables.toDF("b", "m", "y")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(differ, "a long, b long")
+
+
+def parity_tables(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each set a table of at least n bits, in bytes: each element turns one bit over. Tables of half the size are the two halves of a table, one turned over by the other."""
+    bits = 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
+    place = (common.mix(h ^ np.uint64(0x8EBC6AF09C88C6E3)) & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
+    start = np.cumsum(bits) - bits
+    odd = np.bincount(start[doc] + place, minlength=int(bits.sum())).astype(np.uint8) & 1
+    packed = np.packbits(odd).tobytes()
+    return [packed[s : s + b] for s, b in zip((start >> 3).tolist(), (bits >> 3).tolist(), strict=True)]
+
+
+def differing(x: list[bytes | None], y: list[bytes | None]) -> np.ndarray:
+    """The number of bits in which parity tables differ, those of the smaller size; 0 where one isn't known."""
+    out = np.zeros(len(x), np.int64)
+    kinds: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for i, (a, b) in enumerate(zip(x, y, strict=True)):
+        if a is not None and b is not None:
+            kinds[len(a), len(b)].append(i)
+    for size, rows in kinds.items():
+        both = [np.frombuffer(b"".join(z[i] for i in rows), np.uint8).reshape(len(rows), w) for z, w in zip((x, y), size, strict=True)]
+        for k in range(2):
+            while both[k].shape[1] > min(size):
+                half = both[k].shape[1] // 2
+                both[k] = both[k][:, :half] ^ both[k][:, half:]
+        out[rows] = np.bitwise_count(both[0] ^ both[1]).sum(1, dtype=np.int64)
+    return out
 
 
 def link_members(ids: list[int], blocks: list[int], copies: list[int], s: Sets) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -307,7 +374,7 @@ def verified_links(docs: DataFrame, tasks: DataFrame, level) -> DataFrame:
     return loaded.select("cluster", "i", "j", "doc_id", "k1", "copies", "block", "text").mapInArrow(solve, "a long, b long, k1 long, n_links long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, salt_rows: int = SALT_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, salt_rows: int = SALT_ROWS, window: int = WINDOW) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row."""
     spark = docs.sparkSession
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -320,19 +387,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 s = Sets(run, level.value)
                 ids = batch.column(0).slice(start, len(run))
                 prefix: list[bytes | None] = [None] * len(run)  # once a task for each group
+                parity: list[bytes | None] = [None] * len(run)
+                table = parity_tables(s.by_hash, s.doc, s.n)
                 for i in np.flatnonzero((s.n > 0) & ~ids.is_null().to_numpy(zero_copy_only=False)).tolist():
                     if (g := int(s.gid[i])) not in told:
                         told.add(g)
-                        prefix[i] = s.prefix(i).astype("<u8").tobytes()
+                        prefix[i], parity[i] = s.prefix(i).astype("<u8").tobytes(), table[i]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(s.n.astype(np.int64)), pa.array(s.k1.view(np.int64)), pa.array(s.k2.view(np.int64)), pa.array(s.gid), pa.array(prefix, pa.binary())],
-                    names=["doc_id", "n", "k1", "k2", "gid", "prefix"],
+                    [ids, pa.array(s.n.astype(np.int64)), pa.array(s.k1.view(np.int64)), pa.array(s.k2.view(np.int64)), pa.array(s.gid), pa.array(prefix, pa.binary()), pa.array(parity, pa.binary())],
+                    names=["doc_id", "n", "k1", "k2", "gid", "prefix", "parity"],
                 )
 
-    sets = common.cut(every.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, gid long, prefix binary"))
+    sets = common.cut(every.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, gid long, prefix binary, parity binary"))
     known = every.where("doc_id IS NOT NULL")
     classes = common.cut(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("gid").alias("gid"), F.count("*").alias("copies")))
-    near = clusters(sets, level, salt_rows).select(F.col("node").alias("gid"), F.col("component").alias("near"))
+    near = clusters(sets, classes, level, salt_rows, window).select(F.col("node").alias("gid"), F.col("component").alias("near"))
     placed = classes.join(near, "gid", "left").select("rep", "k1", "n", "copies", F.coalesce("near", "gid").alias("cluster"), F.pmod(F.xxhash64("rep"), F.lit(SPREAD)).alias("spread"))
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("all")).where("size > 1")
     sizes = sizes.select("cluster", F.ceil(F.greatest(F.col("size") / block, F.col("all") / BLOCK_SHINGLES)).cast("long").alias("blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("spread"))

@@ -60,6 +60,42 @@ def test_equals_all_pairs(spark, seed, block, salt):
     assert sorted(map(tuple, got), key=str) == brute(data)
 
 
+@pytest.mark.parametrize("window", [0, 2, 9])
+def test_equals_all_pairs_at_any_window(spark, window):
+    data = corpus(9)
+    got = nj.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), block=11, window=window).collect()
+    assert sorted(map(tuple, got), key=str) == brute(data)
+
+
+def test_shared_passages_gather_no_cluster(spark, monkeypatch):
+    """Each text shares a third with the next, too little to link: only the few near copies are loaded, however long the chain is."""
+    rng = np.random.default_rng(13)
+    passages = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(151)]
+    data = [(i, f"{passages[i]} {passages[i + 1]}") for i in range(150)]
+    data += [(200 + i, data[i][1] + " more") for i in range(0, 150, 15)]
+    loaded, verified_links = [], nj.verified_links
+    monkeypatch.setattr(nj, "verified_links", lambda docs, tasks, level: loaded.append(tasks.count()) or verified_links(docs, tasks, level))
+    got = nj.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), block=7).collect()
+    assert sorted(map(tuple, got), key=str) == brute(data)
+    assert loaded == [20]
+
+
+def test_parity_tables_never_tell_apart_more_than_differs():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 2**63, int(rng.integers(1, 700)), dtype=np.uint64)
+        sets += [set(base.tolist()), set(base[: int(rng.integers(1, len(base) + 1))].tolist()) | set(rng.integers(0, 2**63, int(rng.integers(0, 90)), dtype=np.uint64).tolist())]
+    n = np.array([len(x) for x in sets])
+    tables = nj.parity_tables(np.concatenate([np.array(sorted(x), np.uint64) for x in sets]), np.repeat(np.arange(len(sets)), n), n)
+    assert all(8 * len(t) >= k for t, k in zip(tables, n, strict=True))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    found = nj.differing([tables[i] for i, _ in pairs], [tables[j] for _, j in pairs])
+    assert all(d <= len(sets[i] ^ sets[j]) for d, (i, j) in zip(found.tolist(), pairs, strict=True))
+    assert all(d > (n[i] + n[j]) // 7 for d, (i, j) in zip(found.tolist(), pairs, strict=True) if not sets[i] & sets[j] and min(n[i], n[j]) > 100 and 3 * n[i] <= 4 * n[j] <= 4 * n[i])
+    assert nj.differing([None, tables[0]], [tables[0], None]).tolist() == [0, 0]
+
+
 def test_odd_rows(spark):
     got = nj.near_duplicates(docs(spark)).collect()
     assert sorted(map(tuple, got), key=str) == brute([(r[0], r[1]) for r in rows()])
