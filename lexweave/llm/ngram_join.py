@@ -424,8 +424,15 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of the documents that links connect, the one of the smallest id stays, and those without an id."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = common.cut(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    table = spark.sparkContext.broadcast(common.bitmap(gone))
+
+    @F.arrow_udf("boolean")
+    def in_table(ids: pa.Array) -> pa.Array:
+        return pa.array(table.value.has(ids))
+
+    named = in_table(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))  # the others stay without a shuffle of their texts
+    return docs.where(~named).unionByName(docs.where(named).join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 #: The same from all pairs that share a shingle, closed step by step.

@@ -109,6 +109,18 @@ def test_pipeline_stage_keeps_one_of_each_group(spark):
     assert nj.keep_first(spark, none(spark), "").columns == docs(spark).columns
 
 
+def test_pipeline_stage_shuffles_no_text_that_stays(spark):
+    """Rows that the join shuffles are those dropped and a few more, and null and repeated ids stay."""
+    data = corpus(7, 120) + [(None, "no id"), (None, None), (500, "twice"), (500, "twice")]
+    kept = nj.keep_first(spark, spark.createDataFrame(data, "doc_id long, text string").repartition(3), "")
+    first = [(i, t) for (i, t), (_, _, c, _) in zip(sorted(data, key=str), sorted(((i, 0, c, 0) for i, _, c, _ in brute(data)), key=str), strict=True) if i == c]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(first, key=str)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join LeftAnti") :]
+    assert plan.index("Union") < plan.index("Join LeftAnti") and "in_table" in plan and "Filter pythonUDF" in joined[: joined.index("LogicalRDD")]
+
+
+
 def test_prefix_length():
     n = np.arange(0, 50)
     for k in range(1, 50):
