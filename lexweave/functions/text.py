@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,14 +61,53 @@ def tokenize(text: str, separator: str = SEPARATOR) -> list[tuple[str, int, int]
     return out
 
 
+#: Bytes of texts that are split at once.
+AT_ONCE = 1 << 20
+
+#: The separator as Arrow's regular expressions write it.
+_RE2 = re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), SEPARATOR).replace("\\x85\\xa0", "\x85\xa0")
+PLACES = pa.list_(pa.struct([("token", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
+
+
+def _places(texts: pa.Array, separator: str) -> pa.Array:
+    """Lists of (token, start, length). With the usual separator, of one character, by columns, so a token costs its own bytes and two integers."""
+    if separator != SEPARATOR:
+        named = [t and [{"token": w, "start": s, "length": n} for w, s, n in tokenize(t, separator)] for t in texts.to_pylist()]
+        return pa.array([[] if t == "" else t for t in named], PLACES)
+    pieces = pc.split_pattern_regex(texts, _RE2)
+    words, ends = pieces.flatten(), pieces.offsets
+    length = pc.utf8_length(words)
+    total = np.concatenate([[0], np.cumsum(np.asarray(length, dtype=np.int64) + 1)])
+    of = np.repeat(np.arange(len(texts)), np.diff(ends))
+    start = total[:-1] - total[np.asarray(ends)[of]]
+    full = np.asarray(length) > 0
+    kept = np.concatenate([[0], np.cumsum(full)])[np.asarray(ends)]
+    columns = [words.filter(pa.array(full)), pa.array(start[full], pa.int32()), length.cast(pa.int32()).filter(pa.array(full))]
+    return pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.StructArray.from_arrays(columns, ["token", "start", "length"]), mask=texts.is_null() if texts.null_count else None)
+
+
+def places(texts: pa.Array, separator: str = SEPARATOR) -> pa.Array:
+    """Tokens, not yet lower-cased, with their places; some texts are split at a time."""
+    size = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))])
+    out, i = [], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(size, size[i] + AT_ONCE, "right")) - 1)
+        out.append(_places(texts.slice(i, j - i), separator))
+        i = j
+    return pa.concat_arrays(out) if out else _places(texts, separator)
+
+
 def placed_tokens(separator: str = SEPARATOR):
     """A vectorised function from text to tokens with their places."""
 
-    @F.pandas_udf(TOKENS)
-    def place(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [{"token": w, "start": s, "length": n} for w, s, n in tokenize(t, separator)])
+    @F.arrow_udf(TOKENS)
+    def place(texts: pa.Array) -> pa.Array:
+        return places(texts, separator)
+
+    def lower(t: Column) -> Column:
+        return F.struct(F.lower(t["token"]).alias("token"), t["start"].alias("start"), t["length"].alias("length"))
 
-    return place
+    return lambda text: F.transform(place(text), lower)
 
 
 def trim(token: Column) -> Column:

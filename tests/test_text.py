@@ -1,5 +1,7 @@
 import datetime
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,22 @@ def test_places():
     assert X.tokenize(" foo bar") == [("foo", 1, 3), ("bar", 5, 3)]
 
 
+def test_places_by_columns(spark):
+    texts = ["", " -", None, "\n", "ab-\U0001f33f  \u0130x\u3000\u2028y\x85z\xa0 " * 1000, "ΟΔΟΣ ΟΔΟΣ", *(" ".join(["Wörd-X"] * n) + "-" * (n % 3) for n in (1, 2, 500))]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.placed_tokens()(F.col("t")).alias("p"))
+    assert {r["i"]: r["p"] and [tuple(p) for p in r["p"]] for r in found.coalesce(1).collect()} == {i: t and X.tokenize(t) for i, t in enumerate(texts)} | {0: []}
+
+
+def test_places_hold_no_object_a_token():
+    text = "some words " * 100_000
+    for run in range(2):  # the first one imports
+        tracemalloc.start()
+        X.places(pa.array([text, "x", text]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert peak < 40 * 400_000
+
+
 def test_array_tokens(spark):
     assert spark.sql("SELECT array('Foo', null, 'b c') AS a").select(X.array_tokens(F.col("a")).alias("x")).first()["x"] == ["Foo", "", "b c"]
 
