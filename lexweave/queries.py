@@ -22,7 +22,7 @@ from lexweave.operators.pipeline import STOP_WORDS, TRIMMER, Pipeline, expand
 from lexweave.operators.sets import KeySet
 from lexweave.plans.query import Presence, Query, Wildcard
 from lexweave.plans.search import Index, search_many
-from lexweave.sources.json_index import from_json, load_json_lines, save_json_lines, to_json
+from lexweave.sources.json_index import load_json_lines, load_json_pieces, save_json_lines, save_json_pieces
 from lexweave.sources.store import IndexStore
 
 PLAIN = (TRIMMER, STOP_WORDS)
@@ -552,8 +552,9 @@ def index_roundtrip_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SQL["bm25_weights_fields"])
 def index_roundtrip_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    again = from_json(spark, to_json(part_index(spark, sf_dir)))
-    return again.tables.postings.select("term", "field", "doc_ref", F.round("weight", 3).alias("weight"))
+    path = _scratch(spark)
+    save_json_pieces(part_index(spark, sf_dir), path)
+    return load_json_pieces(spark, path).tables.postings.select("term", "field", "doc_ref", F.round("weight", 3).alias("weight"))
 
 
 @query(_SQL["bm25_weights_fields"])
