@@ -47,3 +47,16 @@ def test_frame_step(spark):
 
 def test_default_steps():
     assert indexing().save() == ["trimmer", "stopWordFilter", "stemmer"]
+
+
+def test_tokens_are_trimmed_once_and_texts_shuffled(spark):
+    from lexweave import queries
+
+    def plan(name):
+        return queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+    for name in ("stop_word_filter", "pipeline_expanding"):
+        found = plan(name)
+        assert found.count("regexp_replace(") == 1, found
+        assert found.count("Exchange hashpartitioning(doc_ref#") == 1 == found.count("Exchange hashpartitioning")
+    assert "Window" not in plan("search_single")
